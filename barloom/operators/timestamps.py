@@ -131,7 +131,7 @@ def parse_stamps(df: DataFrame, feeds: DataFrame, stamp: str = "timestamp") -> D
         F.coalesce(num["s"] * 1_000_000, num["ms"] * 1000, num["us"], F.floor(num["ns"] / 1000)).alias("_epoch"),
     )
     leap = F.expr("cast(_m = 2 and _y % 4 = 0 and (_y % 100 <> 0 or _y % 400 = 0) as int)")
-    length = F.expr("element_at(array(31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31), cast(_m as int))") + leap
+    length = F.expr("get(array(31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31), cast(_m - 1 as int))") + leap
     x = x.withColumn("_h", F.expr("case when _half is null then _h when _h between 1 and 12 then _h % 12 + if(_half = 'pm', 12, 0) end"))
     good = F.expr("_y between 1 and 9999 and _m between 1 and 12 and _h between 0 and 23 and _mi between 0 and 59 and _s between 0 and 59")
     x = x.withColumn("_day", F.when(good, F.when(F.col("_d").between(1, length), days_from_civil(F.col("_y"), F.col("_m"), F.col("_d")))))

@@ -51,5 +51,14 @@ def _clean() -> None:
             pass
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` over a fixed number of tasks, for groups that Python workers take:
+    adaptive coalescing goes by bytes and would put many costly groups of few bytes into one task.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
