@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
@@ -51,6 +52,11 @@ def _clean() -> None:
             pass
 
 
+def share(spark: SparkSession, value):
+    """Broadcast an object of bounded size with its class; workers read it by ``pickle.loads(b.value)``."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by ``keys`` over a fixed number of tasks, for groups that Python workers take:
     adaptive coalescing goes by bytes and would put many costly groups of few bytes into one task.
