@@ -9,6 +9,7 @@ bit-parallel edit distance of the runs around it.
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.text import repair
+from barloom.session import share
 
 WORDS = 15
 BUDGET = 1
@@ -166,12 +168,12 @@ def leaked_items(docs: DataFrame, items: DataFrame, words: int = WORDS, budget:
         # rows of the same item_id stay apart under numbers of their own
         known = Items([(n, r[1]) for n, r in enumerate(rows)], words, budget)
         names = [r[0] for r in rows]
-        shared = spark.sparkContext.broadcast((known, names))
+        shared = share(spark, (known, names))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             import ahocorasick
 
-            known, names = shared.value
+            known, names = pickle.loads(shared.value)
             automaton = ahocorasick.Automaton()
             for piece in known.pieces:
                 automaton.add_word(piece, piece)

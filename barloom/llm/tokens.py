@@ -9,12 +9,15 @@ word leaves the array when no pair is left. Known words are kept in a bounded ta
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from barloom.session import share
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 KEEP = 400_000  # words whose ids a task keeps; older ones are merged again when they come back
 
@@ -123,10 +126,10 @@ def encode_corpus(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     Repeated rows each give their row, extra columns are ignored, an empty table gives none. The
     vocabulary file is read on the driver only; its arrays (some 50,000 entries) are broadcast.
     """
-    bpe = docs.sparkSession.sparkContext.broadcast(Bpe(vocabulary))
+    bpe = share(docs.sparkSession, Bpe(vocabulary))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(bpe.value)
+        encoder = Encoder(pickle.loads(bpe.value))
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             step = 256
