@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import pickle
 import re
+from bisect import bisect
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -46,6 +47,8 @@ GERMAN = {"der", "die", "das", "und", "des", "zu", "zur", "den", "dem", "für",
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_a-zà-ÿ]|\W|\d)")
+EDGES = ".,;:!?()[]{}<>«»„“”‚‘’\"'*|/§€£-–—"
+_END = "\x01"
 _ASIDE = re.compile("|".join(map(re.escape, ASIDES)))
 
 
@@ -53,25 +56,36 @@ def sentences(text: str) -> list[str]:
     return _SENTENCE.split(unwrap(text).replace("’", "'"))
 
 
-def stretches(sentence: str, frame: set[str]) -> Iterator[str]:
+def stretches(sentence: str, frame: set[str]) -> list[str]:
     """Candidate terms: up to three successive words outside the frame, in lower case. Names are
     left out, as far as the language tells them by a capital.
     """
+    tokens = sentence.split(" ")
+    german = len(GERMAN.intersection(tokens)) >= 2
     run: list[str] = []
-    last = 0
-    german = sum(w in GERMAN for w in sentence.lower().split()) >= 2
-    for m in [*_WORD.finditer(sentence), None]:
-        word = m.group().lower() if m else ""
-        named = bool(m) and not german and m.start() > 0 and m.group()[0].isupper()
-        if run and (not m or named or word in frame or sentence[last : m.start()] != " "):
-            for n in range(1, min(LONGEST, len(run)) + 1):
-                for i in range(len(run) - n + 1):
-                    yield " ".join(run[i : i + n])
-            run = []
-        if m and not named and word not in frame and len(word) > 2:
-            run.append(word)
-        if m:
-            last = m.end()
+    out: list[str] = []
+
+    def close() -> None:
+        for n in range(1, min(LONGEST, len(run)) + 1):
+            for i in range(len(run) - n + 1):
+                out.append(" ".join(run[i : i + n]))
+        run.clear()
+
+    for i, token in enumerate(tokens):
+        word = token.strip(EDGES)
+        low = word.lower()
+        if len(word) < 3 or low in frame or (i and not german and word[0].isupper()) or not word.replace("'", "").replace("-", "").isalpha():
+            if run:
+                close()
+            continue
+        if run and token[0] != word[0]:
+            close()
+        run.append(low)
+        if token[-1] != word[-1]:
+            close()
+    if run:
+        close()
+    return out
 
 
 @dataclass
@@ -84,7 +98,7 @@ class Lexicon:
 
         a = ahocorasick.Automaton()
         for term, (subject, weight) in self.terms.items():
-            a.add_word(f" {term} ", (term, subject, weight))
+            a.add_word(f" {term}", (term, subject, weight))
         if self.terms:
             a.make_automaton()
         return a
@@ -109,34 +123,47 @@ def seed_lexicon(examples: list[tuple[str, str]]) -> Lexicon:
     return lex
 
 
-def _plain(sentence: str) -> str:
-    return " " + " ".join(_WORD.findall(sentence.lower())) + " "
+def scan(text: str, automaton) -> Iterator[tuple[str, str, list[tuple[str, int, str, float]]]]:
+    """Sentences with two terms or more that are no asides: as written, plain, and their terms.
 
-
-def _hits(automaton, plain: str) -> list[tuple[int, str, str, float]]:
-    """Terms of a sentence, longest first from the left, without overlaps."""
-    found = sorted(((end - len(term) - 1, end, term, subject, w) for end, (term, subject, w) in automaton.iter(plain)), key=lambda h: (h[0], -h[1]))
-    out, upto = [], -1
+    The automaton runs once over the whole text in lower case, with marks between sentences. Terms
+    begin after a space and end where a word ends; they are taken longest first from the left,
+    without overlaps.
+    """
+    parts = sentences(text)
+    plain = " " + f" {_END} ".join(parts).lower() + " "
+    found = sorted((end - len(term), -end, term, subject, w) for end, (term, subject, w) in automaton.iter(plain) if not ((after := plain[end + 1]).isalnum() or after in "'-"))
+    if len(found) < 2:
+        return
+    cuts = [m.start() for m in re.finditer(_END, plain)]
+    by: dict[int, list[tuple[str, int, str, float]]] = {}
+    upto = -1
     for start, end, term, subject, w in found:
         if start >= upto:
-            out.append((start, term, subject, w))
-            upto = end - 1
-    return out
-
-
-def company(text: str, lex: Lexicon, automaton) -> dict[str, Counter]:
-    """Of each candidate of a text, the subjects that at least two other terms of its sentences have."""
-    seen: dict[str, Counter] = defaultdict(Counter)
-    for s in sentences(text):
-        hits = _hits(automaton, _plain(s))
-        if len(hits) < 2 or _ASIDE.search(s.lower()):
+            upto = -end + 1
+            by.setdefault(bisect(cuts, start), []).append((f" {term} ", start, subject, w))
+    for k, hits in by.items():
+        if len(hits) > 1:
+            low = plain[cuts[k - 1] + 1 if k else 0 : cuts[k] if k < len(cuts) else len(plain)]
+            if not _ASIDE.search(low):
+                yield parts[k], low, hits
+
+
+def company(text: str, lex: Lexicon, automaton) -> dict[tuple[str, str], int]:
+    """How often each candidate of a text stands beside two or more other terms of a subject."""
+    seen: dict[tuple[str, str], int] = {}
+    for sentence, low, hits in scan(text, automaton):
+        total = Counter(h[2] for h in hits)
+        strong = [s for s, n in total.items() if n >= 2]
+        if not strong:
             continue
-        for c in set(stretches(s, lex.frame)):
+        terms = [(h[0], h[2]) for h in hits if h[2] in strong]
+        for c in set(stretches(sentence, lex.frame)):
             padded = f" {c} "
-            others = Counter(h[2] for h in hits if f" {h[1]} " not in padded and padded not in f" {h[1]} ")
-            for subject, n in others.items():
-                if n >= 2:  # one term alone may stand there by chance
-                    seen[c][subject] += 1
+            for s in strong:
+                own = sum(1 for name, t in terms if t == s and (name in padded or padded in name))
+                if total[s] - own >= 2:  # one term alone may stand there by chance
+                    seen[c, s] = seen.get((c, s), 0) + 1
     return seen
 
 
@@ -144,22 +171,18 @@ def subjects_of(text: str, automaton, threshold: float = THRESHOLD) -> dict[str,
     """Subjects with their best sentence's score.
 
     A sentence's score for a subject is the weight of its terms over the square root of its length
-    in units of twelve words, so that a long sentence needs more of them. Sentences with one term only
-    don't count, as it may stand there by chance.
+    in units of twelve words, so that a long sentence needs more of them. Sentences with one term
+    only don't count, as it may stand there by chance.
     """
     best: dict[str, float] = {}
     terms: Counter = Counter()
-    for s in sentences(text):
-        plain = _plain(s)
-        hits = _hits(automaton, plain)
-        if len(hits) < 2 or _ASIDE.search(s.lower()):
-            continue
+    for _, low, hits in scan(text, automaton):
         by: Counter = Counter()
         n: Counter = Counter()
         for _, _, subject, w in hits:
             by[subject] += w
             n[subject] += 1
-        length = math.sqrt(max(1.0, plain.count(" ") / 12))
+        length = math.sqrt(max(1.0, low.count(" ") / 12))
         for subject, w in by.items():
             if n[subject] >= 2:
                 best[subject] = max(best.get(subject, 0.0), w / length)
@@ -182,9 +205,8 @@ def extend_lexicon(docs: DataFrame, lex: Lexicon) -> Lexicon:
             rows = Counter()
             for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text and lex.terms:
-                    for term, by in company(text, lex, automaton).items():
-                        for subject, n in by.items():
-                            rows[term, subject, file] += n
+                    for (term, subject), n in company(text, lex, automaton).items():
+                        rows[term, subject, file] += n
             cols = list(zip(*((*k, n) for k, n in rows.items()))) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], ["term", "subject", "file", "n"])
 

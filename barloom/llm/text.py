@@ -9,6 +9,7 @@ import unicodedata
 HYPHENS = "-‐‑¬"
 
 _SPLIT = re.compile(rf"(?<=[^\W\d_])[{HYPHENS}][ \t]*(?:\r\n|\r|\n)[ \t]*(?=[^\W\d_])")
+_MAYBE = re.compile(rf"[{HYPHENS}][ \t]*[\r\n]")
 # What cp1252 makes of the bytes 0x80 to 0xBF.
 _TAIL = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ\x81\x8d\x8f\x90\x9d\xa0-¿\x80-\x9f"
 _GARBLED = re.compile(rf"(?:[Â-ß][{_TAIL}]|[à-ï][{_TAIL}]{{2}}|[ð-ô][{_TAIL}]{{3}})+")
@@ -38,7 +39,10 @@ def repair(text: str) -> str:
 
 def unwrap(text: str) -> str:
     """One line, single spaces, words split by a hyphen at a line end joined, composed accents."""
-    return " ".join(unicodedata.normalize("NFC", _SPLIT.sub("", repair(text))).split())
+    text = repair(text)
+    if _MAYBE.search(text):
+        text = _SPLIT.sub("", text)
+    return " ".join(unicodedata.normalize("NFC", text).split())
 
 
 def fold(text: str) -> str:
