@@ -128,3 +128,35 @@ def window_contract(w: list[dict[str, Column]], status_wanted: str = "CONFIRMED"
     for condition, code in reversed(checks):
         reason = F.when(condition, code).otherwise(reason)
     return reason
+
+
+def boundary_errors(segments: DataFrame) -> DataFrame:
+    """Adds reason_code: why a confirmed segment can't follow the one before it in its symbol, null
+    if it can. Needs logical_id, direction, start and end endpoint ids, and start_bar_index.
+    """
+    w = Window.partitionBy("symbol").orderBy("start_bar_index", "logical_id")
+    x = segments.withColumn("_p", F.lag(F.struct("logical_id", "direction", "end_endpoint_id")).over(w))
+    filled = [F.coalesce(F.col(c) != "", F.lit(False)) for c in ("logical_id", "start_endpoint_id", "end_endpoint_id")]
+    sound = filled[0] & filled[1] & filled[2] & F.coalesce(F.col("direction").isin("UP", "DOWN"), F.lit(False))
+    reason = (
+        F.when(~sound, "SG_DIRECTION_OR_ENDPOINT_INVALID")
+        .when(F.col("_p.logical_id") == F.col("logical_id"), "SG_DUPLICATE_ADJACENT_LOGICAL_ID")
+        .when(F.col("_p.direction") == F.col("direction"), "SG_ADJACENT_DIRECTION_NOT_ALTERNATING")
+        .when(F.col("_p.end_endpoint_id") != F.col("start_endpoint_id"), "SG_ADJACENT_ENDPOINT_NOT_SHARED")
+    )
+    return x.withColumn("reason_code", reason).drop("_p")
+
+
+def prefix_transition(before_hash: Column, after_hash: Column, before_n: Column, after_n: Column, was: Column, now: Column, corrected: Column) -> Column:
+    """Why a later snapshot of a frozen prefix is not allowed, null if it is."""
+    present = F.coalesce((before_hash != "") & (after_hash != ""), F.lit(False))
+    counts = F.coalesce(F.least(before_n, after_n, was, now) >= 0, F.lit(False)) & before_n.isNotNull() & after_n.isNotNull() & was.isNotNull() & now.isNotNull()
+    return (
+        F.when(~present, "FROZEN_PREFIX_HASH_REQUIRED")
+        .when(~counts, "FROZEN_PREFIX_COUNTERS_INVALID")
+        .when(before_hash != after_hash, "FROZEN_PREFIX_REWRITE_FORBIDDEN")
+        .when(after_n < before_n, "LIFECYCLE_EVENT_DELETION_FORBIDDEN")
+        .when(now < was, "CONFIRMATION_TIME_BACKFILL_FORBIDDEN")
+        .when((now != was) & ~corrected, "CORRECTION_FLAG_REQUIRED")
+        .when(corrected & (after_n <= before_n), "CORRECTION_EVENT_APPEND_REQUIRED")
+    )

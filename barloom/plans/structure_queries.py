@@ -109,6 +109,26 @@ def window_contract(s: SparkSession, d: str) -> DataFrame:
     return x.select("symbol", "stroke_id", rules.window_contract([{f: F.col(f"s{k}.{f}") for f in fields} for k in range(3)]).alias("reason_code"))
 
 
+def boundary_contract(s: SparkSession, d: str) -> DataFrame:
+    """Strokes stand in for segments: their ends are the endpoints."""
+    x = _tables(s, d)["strokes"].select("symbol", F.col("stroke_id").alias("logical_id"), "direction", F.col("start_fractal_id").alias("start_endpoint_id"), F.col("end_fractal_id").alias("end_endpoint_id"), "start_bar_index")
+    return rules.boundary_errors(x).select("symbol", "logical_id", "reason_code")
+
+
+def prefix_contract(s: SparkSession, d: str) -> DataFrame:
+    """Each bar against the one before it, as two snapshots of a prefix."""
+    w = Window.partitionBy("symbol").orderBy("bar_index")
+    x = hourly(s, d).select("symbol", "bar_index", F.when(F.col("bar_index") % 5 > 0, F.floor(F.col("bar_index") / 3).cast("string")).alias("h"), F.floor("volume").alias("n"), (F.col("bar_index") % 7).alias("t"), (F.col("bar_index") % 2 == 0).alias("c"))
+    x = x.withColumns({k: F.lag(v).over(w) for k, v in (("h0", "h"), ("n0", "n"), ("t0", "t"))}).where("n0 is not null")
+    return x.select("symbol", "bar_index", rules.prefix_transition(*[F.col(k) for k in ("h0", "h", "n0", "n", "t0", "t", "c")]).alias("reason_code"))
+
+
+def confirmation_bars(s: SparkSession, d: str) -> DataFrame:
+    x = _tables(s, d)["strokes"]
+    bar, reason = rules.confirmation_bar(F.col("end_bar_index"), F.filter(F.array("created_at_bar", "confirmed_at_bar", F.col("start_bar_index")), lambda v: v.isNotNull() & (v % 2 == 0)))
+    return x.select("symbol", "stroke_id", bar.alias("confirmed_at"), reason.alias("reason_code"))
+
+
 def retention(s: SparkSession, d: str) -> DataFrame:
     n = Profile().snapshot_retention
     w = Window.partitionBy("symbol").orderBy(F.col("bar_index").desc())
@@ -170,6 +190,9 @@ QUERIES = {
     "lifecycle_resolution": lifecycle_resolution,
     "failed_pen_break": pen_break,
     "window_contract": window_contract,
+    "boundary_contract": boundary_contract,
+    "prefix_contract": prefix_contract,
+    "confirmation_bar": confirmation_bars,
     "event_log": lambda s, d: event_log(_tables(s, d)),
     "event_counts": lambda s, d: event_log(_tables(s, d)).groupBy("symbol", "object_type", "event_type", "reason_code").agg(F.count("*").alias("n")),
     "consistency_diff": consistency_diff,
@@ -317,6 +340,14 @@ select *, case when reason_code is null then case when previously then case when
   from legs window w as (partition by symbol order by end_bar_index))
 select symbol, stroke_id, case when d0 = d1 then 'DIRECTIONS_NOT_ALTERNATING' when e0 <> s1 then 'STROKES_NOT_CONTIGUOUS' when d1 = d2 then 'DIRECTIONS_NOT_ALTERNATING' when e1 <> s2 then 'STROKES_NOT_CONTIGUOUS'
   when d0 <> d2 then 'FIRST_LAST_DIRECTION_MISMATCH' when t0 <> 'CONFIRMED' or t1 <> 'CONFIRMED' then 'UNCONFIRMED_WINDOW_STROKE' when t2 <> 'CONFIRMED' then 'TAIL_STATUS_INVALID' end reason_code from w where t2 is not null""",
+    "boundary_contract": f"""with recursive {_STROKES}, w as (select *, lag(stroke_id) over w pid, lag(direction) over w pd, lag(end_fractal_id) over w pe from legs window w as (partition by symbol order by start_bar_index, stroke_id))
+select symbol, stroke_id logical_id, case when pid = stroke_id then 'SG_DUPLICATE_ADJACENT_LOGICAL_ID' when pd = direction then 'SG_ADJACENT_DIRECTION_NOT_ALTERNATING' when pe <> start_fractal_id then 'SG_ADJACENT_ENDPOINT_NOT_SHARED' end reason_code from w""",
+    "prefix_contract": f"""with {_H}, x as (select symbol, bar_index::bigint bar_index, case when bar_index % 5 > 0 then (bar_index // 3)::varchar end h, volume::bigint n, bar_index % 7 t, bar_index % 2 = 0 c from hb),
+w as (select *, lag(h) over w h0, lag(n) over w n0, lag(t) over w t0 from x window w as (partition by symbol order by bar_index))
+select symbol, bar_index, case when h0 is null or h is null then 'FROZEN_PREFIX_HASH_REQUIRED' when h0 <> h then 'FROZEN_PREFIX_REWRITE_FORBIDDEN' when n < n0 then 'LIFECYCLE_EVENT_DELETION_FORBIDDEN' when t < t0 then 'CONFIRMATION_TIME_BACKFILL_FORBIDDEN'
+  when t <> t0 and not c then 'CORRECTION_FLAG_REQUIRED' when c and n <= n0 then 'CORRECTION_EVENT_APPEND_REQUIRED' end reason_code from w where n0 is not null""",
+    "confirmation_bar": f"""with recursive {_STROKES}, v as (select *, list_filter([end_bar_index + 1, confirmed_at_bar, start_bar_index], lambda x: x is not null and x % 2 = 0) l from legs)
+select symbol, stroke_id, case when len(l) > 0 and list_max(l) >= end_bar_index then list_max(l) end confirmed_at, case when len(l) = 0 then 'VISIBILITY_REQUIRED' when list_max(l) < end_bar_index then 'CONFIRMATION_TIME_BACKFILL_FORBIDDEN' end reason_code from v""",
     "event_counts": f"""with recursive {_STROKES}, e as (
   select symbol, 'merged_bar' object_type, unnest(['OBJECT_CREATED', 'OBJECT_CONFIRMED']) event_type, unnest(['INCLUSION_NORMALIZED', 'MERGED_BAR_FINALIZED']) reason_code from mb
   union all select symbol, 'fractal', 'OBJECT_CREATED', 'THREE_BAR_PATTERN_DETECTED' from fc
