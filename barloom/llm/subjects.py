@@ -1,11 +1,12 @@
 """Subjects that rulings turn on, by weighted terms and a multi-pattern automaton.
 
-The terms are learned by rule. Words that occur under many subjects of the labelled passages are
-the frame of the language; stretches of other words are candidate terms. Those of the passages
-found under one subject only are the seed. The corpus then adds candidates that keep company with
-the seed of one subject, over all documents. A sentence is scored for a subject by the weights of
-its terms, by rarity, against the length of the sentence; sentences that compare with or cite other
-cases don't count.
+Terms are words. Those of the labelled passages that occur under many subjects are the frame of the
+language, those under one subject only are the seed. The corpus then decides which words are terms:
+a word belongs to a subject if most of its occurrences, over all documents, stand in a sentence
+with other terms of that subject. A sentence is scored for a subject by the weights of its terms, by
+rarity, against its length; the threshold of each subject is calibrated on held-out passages.
+Sentences that cite another case speak of that case and don't count, nor does a term alone in its
+sentence: both are told by structure, not by wording.
 """
 
 from __future__ import annotations
@@ -17,77 +18,46 @@ from bisect import bisect
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.text import unwrap
-from barloom.session import share
+from barloom.session import share, stash
 
 FRAME_SUBJECTS = 4  # a word under so many subjects belongs to the frame
-LONGEST = 3  # words of a term
-PURITY = 0.8  # share of a new term's company that one subject must have
+PURITY = 0.5  # share of the sentences with a term, in the whole corpus, that have others of its subject
+CLASSES = 8  # classes of the mentions that a word stands beside
+VARIETY = 0.5   # share of a term's company outside its largest class: no term by one companion only
 SUPPORT = 5  # files (docket numbers) that must use a new term
-RARE = 1e-4  # and share of the texts: bounds the number of new terms
-THRESHOLD = 0.6  # calibrated on the labelled passages: two terms of usual weight in a sentence
-TERMS = 3  # mentions that a subject needs in all sentences with two or more of them: as many as a headnote has
-EXAMPLES = 100_000  # labelled passages that are taken at most
-
-# Turns by which rulings compare with or mention other cases.
-ASIDES = [
-    "compared the position", "cited in passing", "had dealt with", "none of which is before us", "does not bear on this case",
-    "der vergleich mit", "trägt hier nicht", "ging es um", "nichts davon ist hier gegenstand", "beiläufig",
-    "la comparaison avec", "est sans portée ici", "portait sur", "dont rien n'est ici en cause", "en passant",
-    "la comparación con", "carece aquí de interés", "se trató de", "que aquí no están en juego", "de pasada",
-]
+MENTIONS = 2  # mentions that a sentence needs for a subject: one alone may be a comparison
+TERMS = 3  # mentions that a subject needs in all such sentences: as many as a headnote has
+EXAMPLES = 10_000  # labelled passages of a subject that are taken at most
+BLOCK = 100_000  # terms in one automaton
+FLUSH = 500_000  # words that a task counts before it hands them on
 
-# German function words; German writes nouns with a capital, so capitals tell no names there.
-GERMAN = {"der", "die", "das", "und", "des", "zu", "zur", "den", "dem", "für", "auch", "über", "seit", "wenn", "hat", "weder", "nach", "noch", "ist", "sind"}
+# Words that join two things, so that what they join are two mentions.
+JOINING = {"and", "or", "nor", "und", "oder", "noch", "et", "ou", "ni", "y", "e", "o", "u"}
 
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_a-zà-ÿ]|\W|\d)")
-EDGES = ".,;:!?()[]{}<>«»„“”‚‘’\"'*|/§€£-–—"
+# German function words; German writes nouns with a capital, so capitals tell no names there.
+GERMAN = {"der", "die", "das", "und", "des", "zu", "zur", "den", "dem", "für", "auch", "über", "seit", "wenn", "hat", "weder", "nach", "noch", "ist", "sind", "wer"}
+
+_WORD = re.compile(r"[^\W\d_]+(?:['-][^\W\d_]+)*")
+# a sentence ends at a point, but not at that of a short abbreviation with a capital (Rn., Rep., L.R.)
+_SENTENCE = re.compile(r"(?<=[.!?])(?<!\b[^\W\d_a-z]\.)(?<!\b[^\W\d_a-z]\w\.)(?<!\b[^\W\d_a-z]\w\w\.)(?<!\b[^\W\d_a-z]\w{3}\.)\s+(?=[^\W\d_a-zà-ÿ]|\W|\d)")
+_YEAR = r"(?:1[5-9]|20)\d\d"
+# how cases are cited: [1979] ABC 152, (1999) 35 Abc. 244, 1984 Abc. D.E. 12, ABC 87/86, Re Name, Name v Name
+_CITATION = re.compile(rf"\[{_YEAR}\] ?[^\W\d_a-z]|\({_YEAR}\) \d+ [^\W\d_a-z]|\b{_YEAR} (?:[^\W\d_a-z]\w*\. ?){{2}}|\b[^\W\d_a-z]\w* \d+/\d\d\b(?!/)|\bRe [^\W\d_a-z]|[a-z] v\.? [^\W\d_a-z]")
+_OPENING = " §[]().-–—0123456789"  # what may stand before the first word of a sentence
 _END = "\x01"
-_ASIDE = re.compile("|".join(map(re.escape, ASIDES)))
 
 
 def sentences(text: str) -> list[str]:
     return _SENTENCE.split(unwrap(text).replace("’", "'"))
 
 
-def stretches(sentence: str, frame: set[str]) -> list[str]:
-    """Candidate terms: up to three successive words outside the frame, in lower case. Names are
-    left out, as far as the language tells them by a capital.
-    """
-    tokens = sentence.split(" ")
-    german = len(GERMAN.intersection(tokens)) >= 2
-    run: list[str] = []
-    out: list[str] = []
-
-    def close() -> None:
-        for n in range(1, min(LONGEST, len(run)) + 1):
-            for i in range(len(run) - n + 1):
-                out.append(" ".join(run[i : i + n]))
-        run.clear()
-
-    for i, token in enumerate(tokens):
-        word = token.strip(EDGES)
-        low = word.lower()
-        if len(word) < 3 or low in frame or (i and not german and word[0].isupper()) or not word.replace("'", "").replace("-", "").isalpha():
-            if run:
-                close()
-            continue
-        if run and token[0] != word[0]:
-            close()
-        run.append(low)
-        if token[-1] != word[-1]:
-            close()
-    if run:
-        close()
-    return out
-
-
 @dataclass
 class Lexicon:
     frame: set[str]
@@ -98,7 +68,7 @@ class Lexicon:
 
         a = ahocorasick.Automaton()
         for term, (subject, weight) in self.terms.items():
-            a.add_word(f" {term}", (term, subject, weight))
+            a.add_word(term, (len(term), subject, weight))
         if self.terms:
             a.make_automaton()
         return a
@@ -106,150 +76,262 @@ class Lexicon:
 
 def seed_lexicon(examples: list[tuple[str, str]]) -> Lexicon:
     """Frame and seed terms of labelled (text, subject) passages."""
-    under: dict[str, set[str]] = defaultdict(set)
-    for text, subject in examples:
-        for m in _WORD.finditer(unwrap(text).replace("’", "'")):
-            under[m.group().lower()].add(subject)
-    many = min(FRAME_SUBJECTS, max(2, len({s for _, s in examples})))
-    lex = Lexicon({w for w, subjects in under.items() if len(subjects) >= many})
     counts: dict[str, Counter] = defaultdict(Counter)
     for text, subject in examples:
-        for s in sentences(text):
-            for term in set(stretches(s, lex.frame)):
-                counts[term][subject] += 1
-    for term, by in counts.items():
-        if len(by) == 1:
-            lex.terms[term] = (next(iter(by)), 1.0 if sum(by.values()) > 1 else 0.5)
+        for word in {m.lower() for m in _WORD.findall(unwrap(text).replace("’", "'"))}:
+            counts[word][subject] += 1
+    many = min(FRAME_SUBJECTS, max(2, len({s for _, s in examples})))
+    lex = Lexicon({w for w, by in counts.items() if len(by) >= many or len(w) < 3})
+    for word, by in counts.items():
+        if word not in lex.frame and len(by) == 1:
+            lex.terms[word] = (next(iter(by)), 1.0)
     return lex
 
 
-def scan(text: str, automaton) -> Iterator[tuple[str, str, list[tuple[str, int, str, float]]]]:
-    """Sentences with two terms or more that are no asides: as written, plain, and their terms.
+def _apart(gap: str) -> bool:
+    """Whether what stands between two terms makes two mentions of them: more than one short word."""
+    words = gap.split(" ")
+    return len(words) > 3 or "," in gap or ";" in gap or any(len(w) > 3 or w in JOINING for w in words)
+
+
+def _begin(sentence: str) -> int:
+    """Where the first word of a sentence begins, behind paragraph numbers and brackets."""
+    return len(sentence) - len(sentence.lstrip(_OPENING))
 
-    The automaton runs once over the whole text in lower case, with marks between sentences. Terms
-    begin after a space and end where a word ends; they are taken longest first from the left,
-    without overlaps.
+
+def scan(parts: list[str], automata: list, own: str | None = None, least: int = MENTIONS) -> Iterator[tuple[str, str, bool, dict[str, list[tuple[int, int, float]]]]]:
+    """Those of the sentences ``parts`` with ``least`` mentions of a subject: as written, in lower case, whether capitals
+    tell no names in them, and their mentions by subject: (start, end, weight) of each.
+
+    The automata run once over the whole text. A term begins and ends where a word does; with a
+    capital within a sentence it is a name, but for German and for sentences in capitals. Terms
+    that follow each other directly, or with one short word between, are one mention, of the subject
+    of the weightiest. A sentence that cites a case other than the ruling's ``own`` docket
+    number is left out.
     """
-    parts = sentences(text)
-    plain = " " + f" {_END} ".join(parts).lower() + " "
-    found = sorted((end - len(term), -end, term, subject, w) for end, (term, subject, w) in automaton.iter(plain) if not ((after := plain[end + 1]).isalnum() or after in "'-"))
-    if len(found) < 2:
+    cased = f" {_END} ".join(parts)
+    low = cased.lower()
+    if len(low) != len(cased):  # rare letters whose lower case is longer
+        cased = low
+    cased, low = f" {cased} ", f" {low} "
+    found: list[tuple[int, int, str, float]] = []
+    for a in automata:
+        for end, (n, subject, w) in a.iter(low):
+            before, after = low[end - n], low[end + 1]
+            if not (before.isalnum() or after.isalnum() or after == "_" or (after in "'-" and low[end + 2].isalnum()) or (before == "-" and low[end - n - 1].isalnum())):
+                found.append((end + 1 - n, end + 1, subject, w))
+    if len(found) < least:
         return
-    cuts = [m.start() for m in re.finditer(_END, plain)]
-    by: dict[int, list[tuple[str, int, str, float]]] = {}
-    upto = -1
-    for start, end, term, subject, w in found:
-        if start >= upto:
-            upto = -end + 1
-            by.setdefault(bisect(cuts, start), []).append((f" {term} ", start, subject, w))
+    found.sort()
+    cuts = [m.start() for m in re.finditer(_END, low)]
+    by: dict[int, list[tuple[int, int, str, float]]] = {}
+    for hit in found:
+        by.setdefault(bisect(cuts, hit[0]), []).append(hit)
     for k, hits in by.items():
-        if len(hits) > 1:
-            low = plain[cuts[k - 1] + 1 if k else 0 : cuts[k] if k < len(cuts) else len(plain)]
-            if not _ASIDE.search(low):
-                yield parts[k], low, hits
-
-
-def company(text: str, lex: Lexicon, automaton) -> dict[tuple[str, str], int]:
-    """How often each candidate of a text stands beside two or more other terms of a subject."""
-    seen: dict[tuple[str, str], int] = {}
-    for sentence, low, hits in scan(text, automaton):
-        total = Counter(h[2] for h in hits)
-        strong = [s for s, n in total.items() if n >= 2]
-        if not strong:
+        if len(hits) < least:
             continue
-        terms = [(h[0], h[2]) for h in hits if h[2] in strong]
-        for c in set(stretches(sentence, lex.frame)):
-            padded = f" {c} "
-            for s in strong:
-                own = sum(1 for name, t in terms if t == s and (name in padded or padded in name))
-                if total[s] - own >= 2:  # one term alone may stand there by chance
-                    seen[c, s] = seen.get((c, s), 0) + 1
+        start = cuts[k - 1] + 1 if k else 0
+        stop = cuts[k] if k < len(cuts) else len(low)
+        whole = low[start:stop]
+        free = len(GERMAN.intersection(whole.split(" "))) >= 2 or parts[k].isupper()
+        first = start + _begin(whole)
+        groups: list[list[tuple[int, int, str, float]]] = []
+        for hit in hits:
+            if not free and hit[0] > first and cased[hit[0]].isupper():
+                continue
+            if groups and not _apart(low[groups[-1][-1][1] : hit[0]]):
+                groups[-1].append(hit)
+            else:
+                groups.append([hit])
+        mentions: dict[str, list[tuple[int, int, float]]] = {}
+        for g in groups:
+            subject, w = (g[0][2], g[0][3]) if len(g) == 1 else max(((s, max(h[3] for h in g if h[2] == s)) for s in sorted({h[2] for h in g})), key=lambda x: x[1])
+            mentions.setdefault(subject, []).append((g[0][0] - start, g[-1][1] - start, w))
+        mentions = {s: m for s, m in mentions.items() if len(m) >= least}
+        if mentions and not _CITATION.search(parts[k].replace(own, "") if own else parts[k]):
+            yield cased[start:stop], whole, free, mentions
+
+
+def company(parts: list[str], own: str | None, lex: Lexicon, automata: list) -> Counter:
+    """In how many sentences each word stands beside mentions of a subject of which it is no part,
+    by the class of the one mention beside it, or by CLASSES for mentions of several classes. Names
+    are left out as far as a capital tells them.
+    """
+    seen: Counter = Counter()
+    for cased, low, free, mentions in scan(parts, automata, own, 1):
+        first = _begin(low)
+        words = [(m.start(), m.group()) for m in _WORD.finditer(low)]
+        words = [(at, w) for at, w in words if w not in lex.frame and (free or at <= first or not cased[at].isupper())]
+        for subject, spots in mentions.items():
+            starts = [a for a, _, _ in spots]
+            classes = [crc32(low[a:b].encode()) % CLASSES for a, b, _ in spots]
+            part: dict[str, set[int]] = {}  # mentions of which a word is part
+            for at, word in words:
+                i = bisect(starts, at) - 1
+                held = part.setdefault(word, set())
+                if i >= 0 and at < spots[i][1]:
+                    held.add(i)
+            every = Counter(classes)
+            for word, held in part.items():
+                beside = every - Counter(classes[i] for i in held) if held else every
+                if beside:
+                    seen[word, subject, next(iter(beside)) if len(beside) == 1 else CLASSES] += 1
     return seen
 
 
-def subjects_of(text: str, automaton, threshold: float = THRESHOLD) -> dict[str, float]:
-    """Subjects with their best sentence's score.
+def subjects_of(text: str, automata: list, thresholds: dict[str, float], own: str | None = None) -> dict[str, float]:
+    """Subjects with their best sentence's score, where it reaches the subject's threshold.
 
-    A sentence's score for a subject is the weight of its terms over the square root of its length
-    in units of twelve words, so that a long sentence needs more of them. Sentences with one term
-    only don't count, as it may stand there by chance.
+    A sentence's score for a subject is the weight of its mentions over the square root of its
+    length in units of twelve words, so that a long sentence needs more of them.
     """
     best: dict[str, float] = {}
-    terms: Counter = Counter()
-    for _, low, hits in scan(text, automaton):
-        by: Counter = Counter()
-        n: Counter = Counter()
-        for _, _, subject, w in hits:
-            by[subject] += w
-            n[subject] += 1
+    count: Counter = Counter()
+    for _, low, _, mentions in scan(sentences(text), automata, own):
         length = math.sqrt(max(1.0, low.count(" ") / 12))
-        for subject, w in by.items():
-            if n[subject] >= 2:
-                best[subject] = max(best.get(subject, 0.0), w / length)
-                terms[subject] += n[subject]
-    return {s: w for s, w in best.items() if w >= threshold and terms[s] >= TERMS}
+        for subject, spots in mentions.items():
+            best[subject] = max(best.get(subject, 0.0), sum(w for _, _, w in spots) / length)
+            count[subject] += len(spots)
+    return {s: w for s, w in best.items() if w >= thresholds.get(s, 0.0) and count[s] >= TERMS}
+
+
+def calibrate(examples: list[tuple[str, str]], folds: int = 4) -> dict[str, tuple[float, float, float]]:
+    """Threshold, precision and recall of each subject on held-out passages.
+
+    Each fold is scored by a lexicon of the other folds. The threshold lies in the middle of those
+    that give the best F1, between the highest score that must stay below it and the lowest that
+    must reach it. Passages on one subject are the other subjects' counterexamples.
+    """
+    examples = sorted(set(examples))
+    subjects = sorted({s for _, s in examples})
+    scores: dict[str, list[tuple[float, bool]]] = {s: [] for s in subjects}
+    for k in range(folds):
+        automata = [seed_lexicon([e for i, e in enumerate(examples) if i % folds != k]).automaton()]
+        if not len(automata[0]):
+            continue
+        for text, subject in examples[k::folds]:
+            best: dict[str, float] = {}
+            for _, low, _, mentions in scan(sentences(text), automata):
+                length = math.sqrt(max(1.0, low.count(" ") / 12))
+                for s, spots in mentions.items():
+                    best[s] = max(best.get(s, 0.0), sum(w for _, _, w in spots) / length)
+            for s in subjects:
+                scores[s].append((best.get(s, 0.0), s == subject))
+    out = {}
+    for s, rows in scores.items():
+        values = sorted({v for v, _ in rows} | {0.0})
+        own = sum(y for _, y in rows)
+        tried = []
+        for low, high in zip(values, values[1:]):
+            hits = sum(y for v, y in rows if v >= high)
+            all_ = sum(v >= high for v, _ in rows)
+            tried.append((2 * hits / (all_ + own), -high, (low + high) / 2, hits / all_, hits / own))
+        out[s] = max(tried)[2:] if tried else (0.0, 0.0, 0.0)
+    return out
 
 
-def extend_lexicon(docs: DataFrame, lex: Lexicon) -> Lexicon:
-    """Adds terms of the whole corpus that keep company with one subject's seed, and weighs all.
+def corpus_terms(docs: DataFrame, lex: Lexicon) -> DataFrame:
+    """(term, subject, weight): the words of the whole corpus that belong to a subject.
 
-    Counting is distributed and pre-aggregated; only terms used by SUPPORT files and a share RARE
-    of the texts return to the driver, so that their number has a bound whatever the corpus.
+    Sentences are counted over all documents, those in which a word has a subject's company and all
+    that hold it, within tasks first; a sentence repeated within a text counts once. A word is a
+    term if at least PURITY of its sentences give it the company of one subject, in SUPPORT files and beside VARIETY of its terms; words of the labelled passages need no support. These are shares
+    and numbers of files, so that a corpus and its repetitions give the same terms. The weight is
+    the share times the rarity against the usual term.
     """
     shared = share(docs.sparkSession, lex)
 
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = pickle.loads(shared.value)
-        automaton = lex.automaton()
+        automata = [lex.automaton()] if lex.terms else []
+        total: Counter = Counter()
+        beside: Counter = Counter()
+        files: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            keys = [*((w, None, None) for w in total), *beside]
+            n = [*total.values(), *beside.values()]
+            bits = [*([0] * len(total)), *(files[k] for k in beside)]
+            batch = pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))), pa.array(n, pa.int64()), pa.array(bits, pa.int64())], ["term", "subject", "class", "n", "files"])
+            total.clear(), beside.clear(), files.clear()
+            return batch
+
         for batch in batches:
-            rows = Counter()
-            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text and lex.terms:
-                    for (term, subject), n in company(text, lex, automaton).items():
-                        rows[term, subject, file] += n
-            cols = list(zip(*((*k, n) for k, n in rows.items()))) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], ["term", "subject", "file", "n"])
-
-    # files in 64 classes: enough to tell five from one, and no wide key is shuffled
-    src = docs.select(F.pmod(F.xxhash64("docket_no"), F.lit(64)).cast("int").alias("file"), "text")
-    counts = src.mapInArrow(collect, "term string, subject string, file int, n long")
-    counts = counts.groupBy("term", "subject").agg(F.sum("n").alias("n"), F.bit_or(F.expr("shiftleft(1L, file)")).alias("files"))
-    least = max(SUPPORT, int(docs.count() * RARE))
-    total = counts.groupBy("term").agg(F.sum("n").alias("n"), F.max(F.struct(F.col("n"), "subject")).alias("top"), F.bit_or("files").alias("files"))
-    good = (F.col("n") >= least) & (F.bit_count("files") >= SUPPORT) & (F.col("top.n") >= PURITY * F.col("n"))
-    rows = total.where(good | F.col("term").isin(list(lex.terms))).select("term", "top.subject", "n", (F.col("top.n") / F.col("n")).alias("share"), good.alias("good")).collect()
-    seen = {r["term"] for r in rows if r["good"] or r["share"] < PURITY}
-    rows = [r for r in rows if r["good"]]
-    usual = sorted(r["n"] for r in rows)[len(rows) // 2] if rows else 1
-    terms = {t: known for t, known in lex.terms.items() if t not in seen and known[1] >= 1}  # repeated in the passages, not contradicted
-    for r in rows:
-        rarity = 1 + 0.1 * math.log(max(usual, 1) / r["n"])
-        terms[r["term"]] = (r["subject"], r["share"] * min(1.3, max(0.8, rarity)))
-    return Lexicon(lex.frame, terms)
-
-
-def document_subjects(docs: DataFrame, examples: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+            for bit, own, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if text and automata:
+                    parts = list(dict.fromkeys(sentences(text)))
+                    for sentence in parts:
+                        total.update(set(_WORD.findall(sentence.lower())))
+                    for key, n in company(parts, own, lex, automata).items():
+                        beside[key] += n
+                        files[key] |= bit
+            if len(total) + len(beside) > FLUSH:
+                yield rows()
+        yield rows()
+
+    # files in 63 classes: enough to tell five from one, and no wide key is shuffled
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(docket_no), 63) as int))")
+    src = docs.select(bit.alias("bit"), F.col("docket_no").cast("string").alias("own"), "text")
+    counts = src.mapInArrow(count, "term string, subject string, class int, n long, files long")
+    single = [F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)) for c in range(CLASSES)]
+    counts = counts.groupBy("term", "subject").agg(F.sum("n").alias("n"), F.bit_or("files").alias("files"), (F.sum("n") - F.greatest(*single)).alias("varied"))
+    found = F.when(F.col("subject").isNotNull(), F.struct("varied", "n", "subject", F.bit_count("files").alias("files")))
+    words = counts.groupBy("term").agg(F.max(F.when(F.col("subject").isNull(), F.col("n"))).alias("total"), F.max(found).alias("top"))
+    seed = docs.sparkSession.createDataFrame([(t, s) for t, (s, _) in lex.terms.items()], "seed string, label string")
+    words = words.join(seed, F.col("term") == F.col("seed"), "left")
+    share_ = F.col("top.n") / F.col("total")
+    good = (share_ >= PURITY) & (F.col("top.varied") >= VARIETY * F.col("top.n")) & ((F.col("top.files") >= SUPPORT) | F.col("label").eqNullSafe(F.col("top.subject")))
+    terms = stash(words.where(good & (F.length("term") >= 3)).select("term", "top.subject", "total", share_.alias("share")), "terms")
+    usual = terms.agg(F.expr("percentile_approx(total, 0.5, 10000)")).first()[0] or 1
+    rarity = 1 + 0.1 * F.log(F.lit(float(usual)) / F.col("total"))
+    return terms.select("term", "subject", ((0.5 + 0.5 * F.col("share")) * F.least(F.greatest(rarity, F.lit(0.5)), F.lit(1.5))).alias("weight"))
+
+
+def labelled_passages(examples: DataFrame) -> list[tuple[str, str]]:
+    """At most EXAMPLES (text, subject) of each subject, by the smallest hashes; no repeats or nulls."""
+    from pyspark.sql import Window
+
+    held = examples.where("text is not null and subject is not null").select("text", "subject").distinct()
+    order = Window.partitionBy("subject").orderBy(F.xxhash64("text"), "text")
+    return [tuple(r) for r in held.withColumn("k", F.row_number().over(order)).where(F.col("k") <= EXAMPLES).drop("k").collect()]
+
+
+def subject_thresholds(examples: DataFrame) -> DataFrame:
+    """(subject, threshold, precision, recall) as calibrated on held-out labelled passages."""
+    rows = [(s, *v) for s, v in sorted(calibrate(labelled_passages(examples)).items())]
+    return examples.sparkSession.createDataFrame(rows, "subject string, threshold double, precision double, recall double")
+
+
+def document_subjects(docs: DataFrame, examples: DataFrame) -> DataFrame:
     """(doc_id, subject, score) of the subjects that each ruling turns on.
 
     Texts without words, and rulings on procedure alone, have none. The language comes from the
     text, whatever the lang column says. Repeated rows give their subjects once; extra columns are
-    ignored; without examples no subject is known and the result is empty.
+    ignored; without examples no subject is known and the result is empty. Terms go to the workers
+    in blocks of about BLOCK, each with an automaton of its own, so that any number of them is used.
     """
-    labelled = [(r["text"], r["subject"]) for r in examples.where("text is not null and subject is not null").select("text", "subject").orderBy("subject", "text").limit(EXAMPLES).collect()]
-    lex = extend_lexicon(docs, seed_lexicon(labelled))
-    shared = share(docs.sparkSession, lex)
+    spark = docs.sparkSession
+    labelled = labelled_passages(examples)
+    seed = seed_lexicon(labelled)
+    limits = {s: v[0] for s, v in calibrate(labelled).items()}
+    terms = stash(corpus_terms(docs, seed), "lexicon")
+    blocks = max(1, -(-terms.count() // BLOCK))
+    shared = []
+    for k in range(blocks):
+        rows = terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k).collect()
+        shared.append(share(spark, Lexicon(set(), {r["term"]: (r["subject"], r["weight"]) for r in rows})))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = pickle.loads(shared.value)
-        automaton = lex.automaton()
+        automata = [lex.automaton() for lex in (pickle.loads(b.value) for b in shared) if lex.terms]
         for batch in batches:
             out = []
-            if lex.terms:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if automata:
+                for doc, own, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                     if text:
-                        out += [(doc, s, w) for s, w in subjects_of(text, automaton, threshold).items()]
+                        out += [(doc, s, w) for s, w in subjects_of(text, automata, limits, own).items()]
             cols = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], ["doc_id", "subject", "score"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(assign, "doc_id long, subject string, score double")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("docket_no").cast("string").alias("own"), "text")
+    found = src.mapInArrow(assign, "doc_id long, subject string, score double")
     return found.groupBy("doc_id", "subject").agg(F.max("score").alias("score"))

@@ -7,7 +7,7 @@ import re
 import pytest
 
 from barloom.llm.leakage import Items, leaked_items, myers
-from barloom.llm.subjects import document_subjects, seed_lexicon, subjects_of
+from barloom.llm.subjects import calibrate, document_subjects, scan, seed_lexicon, sentences, subject_thresholds
 from barloom.llm.text import repair, unwrap
 from barloom.llm.tokens import VOCABULARY, Bpe, Encoder, encode_corpus
 
@@ -127,42 +127,78 @@ def passage(rnd, subject, terms):
     return " ".join(f.format(*rnd.sample(terms[subject], 3)) for f in rnd.sample(FRAMES, 2))
 
 
-def test_subjects_on_held_out_rulings(spark):
-    rnd = random.Random(4)
-    known = {s: t[:3] for s, t in TERMS.items()}  # one term of each subject is in no passage
-    examples = spark.createDataFrame([(passage(rnd, s, known), s) for s in TERMS for _ in range(12)], "text string, subject string")
+# asides in words of their own: what tells them is the case that they cite, or that a term stands alone
+ASIDES = [
+    "By contrast, Holm v Marsh (1999) 12 Abc. Rep. 44 was all about {0}, {1} and {2}.",
+    "A different chamber considered {0}, {1} and {2} at length in ABC 87/86, § 4.",
+    "See also [1979] QRS 152, [12] on {0}, {1} and {2}.",
+    "Our colleagues heard of {0}, {1} and {2} in Re Smith Estate, 1984 Tarn. L.R. 29.",
+    "One is reminded of the law on {0}, though nobody said why.",
+]
+
+
+def rulings(rnd, n):
     docs, want = [], {}
-    for d in range(400):
+    for d in range(n):
         subjects = rnd.sample(sorted(TERMS), rnd.choice([0, 1, 1, 2]))
         other = rnd.choice([s for s in TERMS if s not in subjects])
-        parts = [passage(rnd, s, TERMS) for s in subjects] + ["The claim form was served in time.", f"In Re Smith the tribunal had dealt with {TERMS[other][0]}, {TERMS[other][1]} and {TERMS[other][2]}, none of which is before us."]
+        parts = [passage(rnd, s, TERMS) for s in subjects] + ["The claim form was served in time.", rnd.choice(ASIDES).format(*rnd.sample(TERMS[other], 3))]
         rnd.shuffle(parts)
-        docs.append((d, "\n".join(f"{i}. {p}" for i, p in enumerate(parts)), f"F {d % 50}"))
+        docs.append((d, f"Court of Holm, F {d % 50}/21\n" + "\n".join(f"{i}. {p}" for i, p in enumerate(parts)), f"F {d % 50}/21"))
         want[d] = set(subjects)
-    docs += [(1000, None, None), (1001, "", "x"), (1002, "  .. ", "x")]
+    return docs, want
+
+
+def test_subjects_on_held_out_rulings(spark):
+    rnd = random.Random(4)
+    known = {s: t[:3] for s, t in TERMS.items()}  # one term of each subject is in no passage
+    examples = spark.createDataFrame([(passage(rnd, s, known), s) for s in TERMS for _ in range(12)], "text string, subject string")
+    docs, want = rulings(rnd, 400)
+    docs += [(1000, None, None), (1001, "", "x"), (1002, "  .. ", "x"), (1003, "İ" * 20, None), (1004, "power cables " * 50_000, "y")]
     df = spark.createDataFrame(docs, "doc_id long, text string, docket_no string").selectExpr("*", "'x' as subject", "0 as score")
     got = {d: set() for d in want}
-    for r in document_subjects(df, examples).collect():
-        got[r.doc_id].add(r.subject)
+    rows = document_subjects(df, examples).collect()
+    for r in rows:
+        got.setdefault(r.doc_id, set()).add(r.subject)
     right = sum(got[d] == want[d] for d in want)
     assert right / len(want) > 0.97, right
+    assert not any(d in got for d in (1000, 1001, 1002, 1003))
+    # a corpus and its ten-fold repetition give the same rows: nothing depends on the number of texts
+    ten = df.join(spark.range(10).selectExpr("id as copy"), how="cross").selectExpr("doc_id + copy * 10000 as doc_id", "text", "docket_no")
+    many = document_subjects(ten, examples).collect()
+    assert {(r.doc_id % 10000, r.subject) for r in many} == {(r.doc_id, r.subject) for r in rows} and len(many) == 10 * len(rows)
     assert document_subjects(df.limit(0), examples).count() == 0
     assert document_subjects(df, examples.limit(0)).count() == 0
 
 
-def test_subjects_of_real_passages():
+def test_blocks_of_terms_change_nothing(spark, monkeypatch):
+    import barloom.llm.subjects as subjects
+
+    rnd = random.Random(6)
+    examples = spark.createDataFrame([(passage(rnd, s, TERMS), s) for s in TERMS for _ in range(12)], "text string, subject string")
+    df = spark.createDataFrame(rulings(rnd, 60)[0], "doc_id long, text string, docket_no string")
+    one = {tuple(r) for r in document_subjects(df, examples).collect()}
+    monkeypatch.setattr(subjects, "BLOCK", 5)
+    monkeypatch.setattr(subjects, "FLUSH", 3)
+    assert {tuple(r) for r in document_subjects(df, examples).collect()} == one and one
+
+
+def test_mentions():
+    lex = seed_lexicon([(passage(random.Random(i), s, TERMS), s) for s in TERMS for i in range(12)])
+    automata = [lex.automaton()]
+    count = lambda text, own=None: [{s: len(m) for s, m in found.items()} for *_, found in scan(sentences(text), automata, own)]
+    assert count("We saw power cables and gas meters.") == [{"energy": 2}]
+    assert count("We saw power cables.") == [] and count("We met Power Cables and Gas Meters.") == []  # one mention; names
+    assert count("In F 2/21 we saw power cables and gas meters.") == [] and count("In F 2/21 we saw power cables and gas meters.", "F 2/21") == [{"energy": 2}]
+    assert count("We saw empowered cables-free gas meterss.") == []
+
+
+def test_thresholds_of_real_passages(spark):
     path = "/root/testdata/sf0.01/subject_examples.parquet"
     if not os.path.exists(path):
         pytest.skip("no test tables")
-    import pyarrow.parquet as pq
-
-    rows = [(r["text"], r["subject"]) for r in pq.read_table(path).to_pylist()]
-    random.Random(5).shuffle(rows)
-    lex = seed_lexicon(rows[100:])
-    automaton = lex.automaton()
-    hits = wrong = 0
-    for text, subject in rows[:100]:
-        found = subjects_of(text, automaton)
-        hits += subject in found
-        wrong += len(found.keys() - {subject})
-    assert hits >= 55 and wrong <= 3, (hits, wrong)  # single short passages; the corpus adds terms and context
+    rows = subject_thresholds(spark.read.parquet(path)).collect()
+    assert len(rows) == 10
+    for r in rows:  # on passages that the lexicon hasn't seen; the corpus adds terms
+        assert r.threshold > 0 and r.precision >= 0.95 and r.recall >= 0.85, r
+    assert calibrate([]) == {} and calibrate([("a", "x")]) == {"x": (0.0, 0.0, 0.0)}
