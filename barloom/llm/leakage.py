@@ -3,8 +3,9 @@
 Passages and texts are compared as strings of folded letters and digits only, so that spacing,
 punctuation, accents and split words don't matter; word ends are kept beside them. A passage is cut
 into pieces so short that any run of ``words`` words with at most ``budget`` errors holds one piece
-without error. A multi-pattern automaton finds the pieces; each hit is verified by Myers'
-bit-parallel edit distance of the runs around it.
+without error. A multi-pattern automaton finds the pieces; every hit is decided by Myers'
+bit-parallel edit distance of the runs around it. A run without error must also begin and end where
+words of the text do.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from barloom.session import share
 
 WORDS = 15
 BUDGET = 1
-BLOCK = 5_000  # items looked for in one pass: bounds the automaton that is sent to the workers
+BLOCK = 5_000  # items in one automaton: bounds what is sent to the workers at once
+KEPT = 4  # automata that a worker keeps; more blocks are built anew for each batch
 
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile("[\u0300-\u036f]+")
@@ -42,33 +44,37 @@ def ends_of(words: list[str]) -> list[int]:
     return list(accumulate(map(len, words)))
 
 
-def myers(pattern: str, text: str) -> int:
-    """Least edit distance between ``pattern`` and any substring of ``text``, bit-parallel."""
+def myers(pattern: str, text: str) -> tuple[int, list[int]]:
+    """Least edit distance between ``pattern`` and any substring of ``text``, and where the best
+    substrings end; bit-parallel.
+    """
     m = len(pattern)
     if not m:
-        return 0
+        return 0, [0]
     peq: dict[str, int] = {}
     for i, ch in enumerate(pattern):
         peq[ch] = peq.get(ch, 0) | (1 << i)
     mask, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score = mask, 0, m
-    best = m
-    for ch in text:
+    best, ends = m, [0]
+    for at, ch in enumerate(text, 1):
         eq = peq.get(ch, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
         ph = mv | ~(xh | pv)
         mh = pv & xh
-        score += bool(ph & top) - bool(mh & top)
+        if ph & top:
+            score += 1
+        elif mh & top:
+            score -= 1
         ph <<= 1
-        mh <<= 1
-        pv = (mh | ~(xv | ph)) & mask
+        pv = ((mh << 1) | ~(xv | ph)) & mask
         mv = ph & xv & mask
         if score < best:
-            best = score
-            if not best:
-                break
-    return best
+            best, ends = score, [at]
+        elif score == best:
+            ends.append(at)
+    return best, ends
 
 
 class Items:
@@ -90,9 +96,8 @@ class Items:
             for k in range(0, len(b) - step + 1, step):
                 self.pieces.setdefault(text[b[k] : e[k + step - 1]], []).append((item, k))
 
-    def leaks(self, find, text: str) -> dict[int, int]:
-        """Items of which the text holds a run of words within the budget, with the distance."""
-        tokens = words_of(text)
+    def leaks(self, find, tokens: list[str]) -> dict[int, int]:
+        """Items of which a text, given by its words, holds a run within the budget, with the distance."""
         body = "".join(tokens)
         hits: dict[int, set[tuple[int, int]]] = {}
         for end, piece in find(body):
@@ -134,20 +139,24 @@ class Items:
         return False
 
     def _verify(self, item: int, shift: int, piece: int, body: str, ends: set[int]) -> int:
-        """The least distance of the runs around a piece: 0 only for whole words."""
+        """The least distance of the runs around a piece, by Myers: 0 only for whole words, 1 for
+        the same run as part of longer words.
+        """
         text, b, e = self.items[item]
         best = self.budget + 1
         for k in range(max(0, piece + self.step - self.words), min(piece, len(b) - self.words) + 1):
             lo, hi = b[k], e[k + self.words - 1]
-            at, to = lo + shift, hi + shift
-            if to < 0 or at >= len(body):
+            start = max(0, lo + shift - self.budget)
+            near = body[start : max(0, hi + shift + self.budget)]
+            if len(near) < hi - lo - self.budget:
                 continue
-            if at >= 0 and body.startswith(text[lo:hi], at):
-                if at in ends and to in ends:
+            distance, stops = myers(text[lo:hi], near)
+            if not distance:
+                whole = any(start + at in ends and start + at - (hi - lo) in ends for at in stops)
+                if whole:
                     return 0
-                best = min(best, 1)  # the run is there, but as part of longer words
-            elif best > 1:
-                best = min(best, max(1, myers(text[lo:hi], body[max(0, at - self.budget) : to + self.budget])))
+                distance = 1
+            best = min(best, distance)
         return best
 
 
@@ -155,39 +164,48 @@ def leaked_items(docs: DataFrame, items: DataFrame, words: int = WORDS, budget:
     """(doc_id, item_id, distance): texts that hold ``words`` successive words of a passage.
 
     Distance 0 is an exact run of whole words after folding; larger ones are the edit distance of
-    the best run. Items are looked for in blocks of ``block``. Null, empty and short passages and
-    texts leak nothing. Rows repeated in either table give one row each pair; extra columns are
-    ignored.
+    the best run, letters and digits only. The corpus is read once, whatever the number of items:
+    they go to the workers in blocks of about ``block``, which take turns on each batch of texts.
+    Null, empty and short passages and texts leak nothing. Rows repeated in either table give one
+    row each pair; extra columns are ignored.
     """
     spark = docs.sparkSession
     held = items.where(F.col("passage").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "passage")
     blocks = max(1, -(-held.count() // block))
-    found = None
+    shared = []
     for k in range(blocks):
         rows = [tuple(r) for r in held.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == k).collect()]
         # rows of the same item_id stay apart under numbers of their own
-        known = Items([(n, r[1]) for n, r in enumerate(rows)], words, budget)
-        names = [r[0] for r in rows]
-        shared = share(spark, (known, names))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            known, names = pickle.loads(shared.value)
-            automaton = ahocorasick.Automaton()
-            for piece in known.pieces:
-                automaton.add_word(piece, piece)
-            if known.pieces:
-                automaton.make_automaton()
-            for batch in batches:
-                out: list[tuple[int, int, int]] = []
+        shared.append(share(spark, (Items([(n, r[1]) for n, r in enumerate(rows)], words, budget), [r[0] for r in rows])))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        ready: dict[int, tuple] = {}
+
+        def load(k: int) -> tuple:
+            if k not in ready:
+                known, names = pickle.loads(shared[k].value)
+                automaton = ahocorasick.Automaton()
+                for piece in known.pieces:
+                    automaton.add_word(piece, piece)
+                if known.pieces:
+                    automaton.make_automaton()
+                if len(shared) > KEPT:
+                    ready.clear()
+                ready[k] = known, names, automaton
+            return ready[k]
+
+        for batch in batches:
+            texts = [(doc, words_of(text)) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text]
+            out: list[tuple[int, int, int]] = []
+            for k in range(len(shared)):
+                known, names, automaton = load(k)
                 if known.pieces:
-                    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                        if text:
-                            out += [(doc, names[i], d) for i, d in known.leaks(automaton.iter, text).items()]
-                cols = list(zip(*out)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["doc_id", "item_id", "distance"])
-
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, "doc_id long, item_id long, distance int")
-        found = part if found is None else found.unionByName(part)
+                    for doc, tokens in texts:
+                        out += [(doc, names[i], d) for i, d in known.leaks(automaton.iter, tokens).items()]
+            cols = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["doc_id", "item_id", "distance"])
+
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, "doc_id long, item_id long, distance int")
     return found.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))

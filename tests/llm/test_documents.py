@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from barloom.llm.leakage import Items, leaked_items, myers
+from barloom.llm.leakage import Items, leaked_items, myers, words_of
 from barloom.llm.subjects import calibrate, document_subjects, scan, seed_lexicon, sentences, subject_thresholds
 from barloom.llm.text import repair, unwrap
 from barloom.llm.tokens import VOCABULARY, Bpe, Encoder, encode_corpus
@@ -59,7 +59,9 @@ def test_myers_equals_the_table():
     rnd = random.Random(2)
     for _ in range(300):
         a, b = ("".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 90))) for _ in range(2))
-        assert myers(a, b) == distance(a, b)
+        least, ends = myers(a, b)
+        assert least == distance(a, b)
+        assert all(min(distance(a, b[k:e]) for k in range(e + 1)) == least for e in ends[:3])
 
 
 WORDS = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}é" for i in range(300)]
@@ -96,22 +98,54 @@ def test_leaks_against_brute_force(spark):
     assert leaked_items(a.limit(0), b).count() == 0 and leaked_items(a, b.limit(0)).count() == 0
 
 
-def test_leaks_through_dirt_and_with_an_error():
+def searcher(passages, words=15, budget=1):
     import ahocorasick
 
-    passage = "The clerk of Ardlow collected the foreign teapot within a fortnight, although Holgarert had mislaid a damp mirror"
-    items = Items([(1, passage)])
+    items = Items(list(enumerate(passages)), words, budget)
     a = ahocorasick.Automaton()
     for p in items.pieces:
         a.add_word(p, p)
     a.make_automaton()
-    dirty = passage.upper().replace("FOREIGN", "FOR-\n  EIGN").replace("WITHIN", "WITH­IN").replace(" ", "  ")
-    assert items.leaks(a.iter, f"before {dirty} after") == {1: 0}
-    assert items.leaks(a.iter, passage.replace("within", "wathin")) in ({1: 1}, {})
-    words = passage.split()
-    assert items.leaks(a.iter, " ".join(words[:14])) == {}
-    assert items.leaks(a.iter, " ".join(words[:8]) + " xx " + " ".join(words[8:])) in ({}, {1: 1})
-    assert items.leaks(a.iter, "x".join(["", " ".join(words[:15])]) + "y") in ({}, {1: 1})  # parts of longer words are no words
+    return lambda text: items.leaks(a.iter, words_of(text))
+
+
+PASSAGE = "The clerk of Ardlow collected the foreign teapot within a fortnight, although Holgarert had mislaid a damp mirror"
+
+
+def test_leaks_through_dirt_and_with_an_error():
+    find = searcher([PASSAGE])
+    dirty = PASSAGE.upper().replace("FOREIGN", "FOR-\n  EIGN").replace("WITHIN", "WITH\xadIN").replace(" ", "  ")
+    assert find(f"before {dirty} after") == {0: 0}
+    words = PASSAGE.split()
+    assert find(" ".join(words[:15])) == {0: 0} and find(" ".join(words[:13])) == {}
+    assert find(" ".join(words[:15]).replace("teapot", "teapt")) == {0: 1}
+    assert find(" ".join(words[:15]).replace("teapot", "teaxpot")) == {0: 1}
+    assert find(" ".join(words[:15]).replace("teapot", "teasot")) == {0: 1}
+    assert find(" ".join(words[:15]).replace("teapot", "xxxx")) == {}
+    assert find("x" + " ".join(words[:15]) + "y") == {0: 1}  # parts of longer words are no words
+
+
+def test_recall_with_one_error_against_brute_force():
+    rnd = random.Random(8)
+    passages = [" ".join(rnd.choice(WORDS) for _ in range(rnd.choice([15, 18, 30]))) for _ in range(12)]
+    find = searcher(passages)
+    runs_of = [["".join(words_of(p)[k : k + 15]) for k in range(len(words_of(p)) - 14)] for p in passages]
+    held = 0
+    for n in range(150):
+        p = rnd.choice(passages).split()
+        k = rnd.randrange(len(p) - 14)
+        run = list(" ".join(p[k : k + 15]))
+        for _ in range(rnd.choice([0, 1, 1, 1, 2])):
+            at = rnd.randrange(len(run))
+            run[at : at + 1] = rnd.choice([[], [run[at], "q"], ["q"]])
+        text = " ".join(rnd.choice(WORDS) for _ in range(10)) + " " + "".join(run) + " " + " ".join(rnd.choice(WORDS) for _ in range(10))
+        body = "".join(words_of(text))
+        want = {i: min(distance(r, body) for r in runs) for i, runs in enumerate(runs_of)}
+        got = find(text)
+        assert {i for i, d in want.items() if d <= 1} == set(got), (n, want, got)
+        assert all(max(want[i], 0) <= d <= 1 for i, d in got.items())
+        held += bool(got)
+    assert held > 90
 
 
 def test_repair():
