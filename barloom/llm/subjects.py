@@ -39,18 +39,28 @@ BLOCK = 100_000  # terms in one automaton
 FLUSH = 500_000  # words that a task counts before it hands them on
 
 # Words that join two things, so that what they join are two mentions.
-JOINING = {"and", "or", "nor", "und", "oder", "noch", "et", "ou", "ni", "y", "e", "o", "u"}
+JOINING = {f" {w} " for w in ("and", "or", "nor", "und", "oder", "noch", "et", "ou", "ni", "y", "e", "o", "u")}
 
 # German function words; German writes nouns with a capital, so capitals tell no names there.
 GERMAN = {"der", "die", "das", "und", "des", "zu", "zur", "den", "dem", "für", "auch", "über", "seit", "wenn", "hat", "weder", "nach", "noch", "ist", "sind", "wer"}
 
 _WORD = re.compile(r"[^\W\d_]+(?:['-][^\W\d_]+)*")
+_NAME = re.compile(r"\b[^\W\d_a-zà-öø-ÿ][^\W\d_]*(?:['-][^\W\d_]+)*")
 # a sentence ends at a point, but not at that of a short abbreviation with a capital (Rn., Rep., L.R.)
 _SENTENCE = re.compile(r"(?<=[.!?])(?<!\b[^\W\d_a-z]\.)(?<!\b[^\W\d_a-z]\w\.)(?<!\b[^\W\d_a-z]\w\w\.)(?<!\b[^\W\d_a-z]\w{3}\.)\s+(?=[^\W\d_a-zà-ÿ]|\W|\d)")
 _YEAR = r"(?:1[5-9]|20)\d\d"
-# how cases are cited: [1979] ABC 152, (1999) 35 Abc. 244, 1984 Abc. D.E. 12, ABC 87/86, Re Name, Name v Name
-_CITATION = re.compile(rf"\[{_YEAR}\] ?[^\W\d_a-z]|\({_YEAR}\) \d+ [^\W\d_a-z]|\b{_YEAR} (?:[^\W\d_a-z]\w*\. ?){{2}}|\b[^\W\d_a-z]\w* \d+/\d\d\b(?!/)|\bRe [^\W\d_a-z]|[a-z] v\.? [^\W\d_a-z]")
+_CAPITAL = r"[^\W\d_a-z]"
+# how cases are cited, by a sign that a sentence must have and the form around it
+_CITED = [
+    ("[", re.compile(rf"\[{_YEAR}\] ?{_CAPITAL}")),  # [1979] ABC 152
+    ("(", re.compile(rf"\({_YEAR}\) \d+ {_CAPITAL}")),  # (1999) 35 Abc. 244
+    ("/", re.compile(rf"/\d\d(?![\d/])(?<={_CAPITAL} \d/\d\d)|/\d\d(?![\d/])(?<={_CAPITAL} \d\d/\d\d)|/\d\d(?![\d/])(?<={_CAPITAL} \d\d\d/\d\d)|/\d\d(?![\d/])(?<={_CAPITAL} \d\d\d\d/\d\d)")),  # ABC 87/86
+    (" v", re.compile(rf" v\.? {_CAPITAL}")),  # Name v Name
+    ("Re ", re.compile(rf"\bRe {_CAPITAL}")),  # Re Name
+    (".", re.compile(rf"[12]\d\d\d {_CAPITAL}\w*\. ?{_CAPITAL}")),  # 1984 Abc. D.E. 12
+]
 _OPENING = " §[]().-–—0123456789"  # what may stand before the first word of a sentence
+_BEFORE = "(\"'«„“‘[/"  # signs that may stand before a word, beside a blank
 _END = "\x01"
 
 
@@ -68,7 +78,7 @@ class Lexicon:
 
         a = ahocorasick.Automaton()
         for term, (subject, weight) in self.terms.items():
-            a.add_word(term, (len(term), subject, weight))
+            a.add_word(f" {term}", (len(term), subject, weight))
         if self.terms:
             a.make_automaton()
         return a
@@ -90,8 +100,17 @@ def seed_lexicon(examples: list[tuple[str, str]]) -> Lexicon:
 
 def _apart(gap: str) -> bool:
     """Whether what stands between two terms makes two mentions of them: more than one short word."""
-    words = gap.split(" ")
-    return len(words) > 3 or "," in gap or ";" in gap or any(len(w) > 3 or w in JOINING for w in words)
+    return gap != " " and (len(gap) > 5 or gap in JOINING or not gap.replace(" ", "").replace("'", "").isalpha())
+
+
+def cites(sentence: str) -> bool:
+    """Whether a sentence cites a case."""
+    return any(sign in sentence and form.search(sentence) for sign, form in _CITED)
+
+
+def _free(cased: str, low: str) -> bool:
+    """Whether capitals tell no names in a sentence: German, or all in capitals."""
+    return len(GERMAN.intersection(low.split(" "))) >= 2 or cased.isupper()
 
 
 def _begin(sentence: str) -> int:
@@ -99,9 +118,9 @@ def _begin(sentence: str) -> int:
     return len(sentence) - len(sentence.lstrip(_OPENING))
 
 
-def scan(parts: list[str], automata: list, own: str | None = None, least: int = MENTIONS) -> Iterator[tuple[str, str, bool, dict[str, list[tuple[int, int, float]]]]]:
-    """Those of the sentences ``parts`` with ``least`` mentions of a subject: as written, in lower case, whether capitals
-    tell no names in them, and their mentions by subject: (start, end, weight) of each.
+def scan(parts: list[str], automata: list, own: str | None = None, least: int = MENTIONS) -> Iterator[tuple[int, str, dict[str, list[tuple[int, int, float]]]]]:
+    """Those of the sentences ``parts`` with ``least`` mentions of a subject: their numbers, the
+    sentences in lower case, and their mentions by subject: (start, end, weight) of each.
 
     The automata run once over the whole text. A term begins and ends where a word does; with a
     capital within a sentence it is a name, but for German and for sentences in capitals. Terms
@@ -114,69 +133,92 @@ def scan(parts: list[str], automata: list, own: str | None = None, least: int =
     if len(low) != len(cased):  # rare letters whose lower case is longer
         cased = low
     cased, low = f" {cased} ", f" {low} "
+    plain = low
+    for sign in _BEFORE:
+        if sign in plain:
+            plain = plain.replace(sign, " ")
     found: list[tuple[int, int, str, float]] = []
     for a in automata:
-        for end, (n, subject, w) in a.iter(low):
-            before, after = low[end - n], low[end + 1]
-            if not (before.isalnum() or after.isalnum() or after == "_" or (after in "'-" and low[end + 2].isalnum()) or (before == "-" and low[end - n - 1].isalnum())):
+        for end, (n, subject, w) in a.iter(plain):
+            after = plain[end + 1]
+            if after == " " or not (after.isalnum() or after == "_" or (after in "'-" and plain[end + 2].isalnum())):
                 found.append((end + 1 - n, end + 1, subject, w))
     if len(found) < least:
         return
-    found.sort()
-    cuts = [m.start() for m in re.finditer(_END, low)]
-    by: dict[int, list[tuple[int, int, str, float]]] = {}
+    if len(automata) > 1:
+        found.sort()
+    found.append((len(low) + 1, 0, "", 0.0))
+    k, start, stop = -1, 0, -1
+    hits: list[tuple[int, int, str, float]] = []
     for hit in found:
-        by.setdefault(bisect(cuts, hit[0]), []).append(hit)
-    for k, hits in by.items():
-        if len(hits) < least:
+        if hit[0] < stop:
+            hits.append(hit)
             continue
-        start = cuts[k - 1] + 1 if k else 0
-        stop = cuts[k] if k < len(cuts) else len(low)
-        whole = low[start:stop]
-        free = len(GERMAN.intersection(whole.split(" "))) >= 2 or parts[k].isupper()
-        first = start + _begin(whole)
-        groups: list[list[tuple[int, int, str, float]]] = []
-        for hit in hits:
-            if not free and hit[0] > first and cased[hit[0]].isupper():
+        if len(hits) >= least:
+            mentions = _mentions(hits, cased, low, start, stop, least)
+            if mentions and not cites(parts[k].replace(own, "") if own else parts[k]):
+                yield k, low[start:stop], mentions
+        while stop < hit[0] and stop < len(low):
+            start, stop, k = stop + 1, low.find(_END, stop + 1), k + 1
+            if stop < 0:
+                stop = len(low)
+        hits = [hit]
+
+
+def _mentions(hits: list, cased: str, low: str, start: int, stop: int, least: int) -> dict[str, list[tuple[int, int, float]]]:
+    """Mentions of one sentence by subject, of subjects with ``least`` of them."""
+    first = free = None
+    groups: list[list[tuple[int, int, str, float]]] = []
+    for hit in hits:
+        at = hit[0]
+        if cased[at] != low[at]:
+            if free is None:
+                free, first = _free(cased[start:stop], low[start:stop]), start + _begin(low[start:stop])
+            if not free and at > first:
                 continue
-            if groups and not _apart(low[groups[-1][-1][1] : hit[0]]):
-                groups[-1].append(hit)
-            else:
-                groups.append([hit])
-        mentions: dict[str, list[tuple[int, int, float]]] = {}
-        for g in groups:
-            subject, w = (g[0][2], g[0][3]) if len(g) == 1 else max(((s, max(h[3] for h in g if h[2] == s)) for s in sorted({h[2] for h in g})), key=lambda x: x[1])
-            mentions.setdefault(subject, []).append((g[0][0] - start, g[-1][1] - start, w))
-        mentions = {s: m for s, m in mentions.items() if len(m) >= least}
-        if mentions and not _CITATION.search(parts[k].replace(own, "") if own else parts[k]):
-            yield cased[start:stop], whole, free, mentions
-
-
-def company(parts: list[str], own: str | None, lex: Lexicon, automata: list) -> Counter:
-    """In how many sentences each word stands beside mentions of a subject of which it is no part,
-    by the class of the one mention beside it, or by CLASSES for mentions of several classes. Names
-    are left out as far as a capital tells them.
+        if groups and not _apart(low[groups[-1][-1][1] : at]):
+            groups[-1].append(hit)
+        else:
+            groups.append([hit])
+    if len(groups) < least:
+        return {}
+    out: dict[str, list[tuple[int, int, float]]] = {}
+    for g in groups:
+        _, _, subject, w = g[0] if len(g) == 1 else max(g, key=lambda h: (h[3], h[2]))
+        out.setdefault(subject, []).append((g[0][0] - start, g[-1][1] - start, w))
+    return {s: m for s, m in out.items() if len(m) >= least}
+
+
+def company(parts: list[str], tokens: list[set[str]], own: str | None, lex: Lexicon, automata: list) -> Iterator[tuple[str, int, set[str]]]:
+    """Words that stand in a sentence beside mentions of a subject of which they are no part: the
+    subject, the class of the mentions, or CLASSES if of several, and the words. Names are left out
+    as far as a capital tells them. ``tokens`` are the words, in lower case, of the sentences ``parts``.
     """
-    seen: Counter = Counter()
-    for cased, low, free, mentions in scan(parts, automata, own, 1):
-        first = _begin(low)
-        words = [(m.start(), m.group()) for m in _WORD.finditer(low)]
-        words = [(at, w) for at, w in words if w not in lex.frame and (free or at <= first or not cased[at].isupper())]
+    for k, low, mentions in scan(parts, automata, own, 1):
+        small = tokens[k] - lex.frame
+        names = _NAME.findall(parts[k])
+        if names and not (len(GERMAN & tokens[k]) >= 2 or parts[k].isupper()):
+            small.difference_update([n.lower() for n in names[parts[k].lstrip(_OPENING).startswith(names[0]) :]])
         for subject, spots in mentions.items():
-            starts = [a for a, _, _ in spots]
-            classes = [crc32(low[a:b].encode()) % CLASSES for a, b, _ in spots]
-            part: dict[str, set[int]] = {}  # mentions of which a word is part
-            for at, word in words:
-                i = bisect(starts, at) - 1
-                held = part.setdefault(word, set())
-                if i >= 0 and at < spots[i][1]:
-                    held.add(i)
-            every = Counter(classes)
-            for word, held in part.items():
-                beside = every - Counter(classes[i] for i in held) if held else every
-                if beside:
-                    seen[word, subject, next(iter(beside)) if len(beside) == 1 else CLASSES] += 1
-    return seen
+            classes = []
+            part: dict[str, list[int]] = {}  # classes of the mentions of which a word is part
+            for a, b, _ in spots:
+                mention = low[a:b]
+                c = crc32(mention.encode()) % CLASSES
+                classes.append(c)
+                for word in mention.split(" "):
+                    part.setdefault(word, []).append(c)
+            kinds = set(classes)
+            beside = {next(iter(kinds)) if len(kinds) == 1 else CLASSES: small.difference(part)}
+            if len(spots) > 1:
+                every = Counter(classes) if len(kinds) < len(classes) else None
+                for word, held in part.items():
+                    if word in small:
+                        left = kinds.difference(held) if every is None else [c for c in kinds if held.count(c) < every[c]]
+                        if left:
+                            beside.setdefault(next(iter(left)) if len(left) == 1 else CLASSES, set()).add(word)
+            for c, words in beside.items():
+                yield subject, c, words
 
 
 def subjects_of(text: str, automata: list, thresholds: dict[str, float], own: str | None = None) -> dict[str, float]:
@@ -187,7 +229,7 @@ def subjects_of(text: str, automata: list, thresholds: dict[str, float], own: st
     """
     best: dict[str, float] = {}
     count: Counter = Counter()
-    for _, low, _, mentions in scan(sentences(text), automata, own):
+    for _, low, mentions in scan(sentences(text), automata, own):
         length = math.sqrt(max(1.0, low.count(" ") / 12))
         for subject, spots in mentions.items():
             best[subject] = max(best.get(subject, 0.0), sum(w for _, _, w in spots) / length)
@@ -211,7 +253,7 @@ def calibrate(examples: list[tuple[str, str]], folds: int = 4) -> dict[str, tupl
             continue
         for text, subject in examples[k::folds]:
             best: dict[str, float] = {}
-            for _, low, _, mentions in scan(sentences(text), automata):
+            for _, low, mentions in scan(sentences(text), automata):
                 length = math.sqrt(max(1.0, low.count(" ") / 12))
                 for s, spots in mentions.items():
                     best[s] = max(best.get(s, 0.0), sum(w for _, _, w in spots) / length)
@@ -245,13 +287,13 @@ def corpus_terms(docs: DataFrame, lex: Lexicon) -> DataFrame:
         lex = pickle.loads(shared.value)
         automata = [lex.automaton()] if lex.terms else []
         total: Counter = Counter()
-        beside: Counter = Counter()
-        files: Counter = Counter()
+        beside: dict[tuple[str, int], Counter] = defaultdict(Counter)
+        files: dict[str, Counter] = defaultdict(Counter)
 
         def rows() -> pa.RecordBatch:
-            keys = [*((w, None, None) for w in total), *beside]
-            n = [*total.values(), *beside.values()]
-            bits = [*([0] * len(total)), *(files[k] for k in beside)]
+            keys = [*((w, None, None) for w in total), *((w, s, c) for (s, c), words in beside.items() for w in words)]
+            n = [*total.values(), *(n for words in beside.values() for n in words.values())]
+            bits = [*([0] * len(total)), *(files[s][w] for (s, _), words in beside.items() for w in words)]
             batch = pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))), pa.array(n, pa.int64()), pa.array(bits, pa.int64())], ["term", "subject", "class", "n", "files"])
             total.clear(), beside.clear(), files.clear()
             return batch
@@ -260,12 +302,18 @@ def corpus_terms(docs: DataFrame, lex: Lexicon) -> DataFrame:
             for bit, own, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if text and automata:
                     parts = list(dict.fromkeys(sentences(text)))
-                    for sentence in parts:
-                        total.update(set(_WORD.findall(sentence.lower())))
-                    for key, n in company(parts, own, lex, automata).items():
-                        beside[key] += n
-                        files[key] |= bit
-            if len(total) + len(beside) > FLUSH:
+                    tokens = [set(_WORD.findall(sentence.lower())) for sentence in parts]
+                    for words in tokens:
+                        total.update(words)
+                    seen: dict[str, set[str]] = defaultdict(set)
+                    for subject, c, words in company(parts, tokens, own, lex, automata):
+                        beside[subject, c].update(words)
+                        seen[subject] |= words
+                    for subject, words in seen.items():
+                        known = files[subject]
+                        for word in words:
+                            known[word] |= bit
+            if len(total) + sum(map(len, beside.values())) > FLUSH:
                 yield rows()
         yield rows()
 
