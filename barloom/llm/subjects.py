@@ -45,23 +45,23 @@ JOINING = {f" {w} " for w in ("and", "or", "nor", "und", "oder", "noch", "et", "
 GERMAN = {"der", "die", "das", "und", "des", "zu", "zur", "den", "dem", "für", "auch", "über", "seit", "wenn", "hat", "weder", "nach", "noch", "ist", "sind", "wer"}
 
 _WORD = re.compile(r"[^\W\d_]+(?:['-][^\W\d_]+)*")
-_NAME = re.compile(r"\b[^\W\d_a-zà-öø-ÿ][^\W\d_]*(?:['-][^\W\d_]+)*")
 # a sentence ends at a point, but not at that of a short abbreviation with a capital (Rn., Rep., L.R.)
 _SENTENCE = re.compile(r"(?<=[.!?])(?<!\b[^\W\d_a-z]\.)(?<!\b[^\W\d_a-z]\w\.)(?<!\b[^\W\d_a-z]\w\w\.)(?<!\b[^\W\d_a-z]\w{3}\.)\s+(?=[^\W\d_a-zà-ÿ]|\W|\d)")
 _YEAR = r"(?:1[5-9]|20)\d\d"
 _CAPITAL = r"[^\W\d_a-z]"
-# how cases are cited, by a sign that a sentence must have and the form around it
-_CITED = [
-    ("[", re.compile(rf"\[{_YEAR}\] ?{_CAPITAL}")),  # [1979] ABC 152
-    ("(", re.compile(rf"\({_YEAR}\) \d+ {_CAPITAL}")),  # (1999) 35 Abc. 244
-    ("/", re.compile(rf"/\d\d(?![\d/])(?<={_CAPITAL} \d/\d\d)|/\d\d(?![\d/])(?<={_CAPITAL} \d\d/\d\d)|/\d\d(?![\d/])(?<={_CAPITAL} \d\d\d/\d\d)|/\d\d(?![\d/])(?<={_CAPITAL} \d\d\d\d/\d\d)")),  # ABC 87/86
-    (" v", re.compile(rf" v\.? {_CAPITAL}")),  # Name v Name
-    ("Re ", re.compile(rf"\bRe {_CAPITAL}")),  # Re Name
-    (".", re.compile(rf"[12]\d\d\d {_CAPITAL}\w*\. ?{_CAPITAL}")),  # 1984 Abc. D.E. 12
-]
+# how cases are cited
+_NEUTRAL = re.compile(rf"\[{_YEAR}\] ?{_CAPITAL}")  # [1979] ABC 152
+_VOLUME = re.compile(rf"\({_YEAR}\) \d+ {_CAPITAL}")  # (1999) 35 Abc. 244
+_FILE = re.compile("|".join(rf"/\d\d(?![\d/])(?<={_CAPITAL} {n}/\d\d)" for n in (r"\d", r"\d\d", r"\d\d\d", r"\d\d\d\d")))  # ABC 87/86
+_VERSUS = re.compile(rf" v\.? {_CAPITAL}")  # Name v Name
+_MATTER = re.compile(rf"\bRe {_CAPITAL}")  # Re Name
+_REPORT = re.compile(rf"[12]\d\d\d {_CAPITAL}\w*\. ?{_CAPITAL}")  # 1984 Abc. D.E. 12
 _OPENING = " §[]().-–—0123456789"  # what may stand before the first word of a sentence
 _BEFORE = "(\"'«„“‘[/"  # signs that may stand before a word, beside a blank
 _END = "\x01"
+_SIGNS = "«»„“”‚‘’…–—§€£·•¿¡†‡°ºª"  # the usual signs beyond ASCII
+_LETTERS = bytes(i if i > 127 or chr(i).isalpha() or chr(i) in "'-\x01" else 32 for i in range(256))
+_GERMAN = {w.encode() for w in GERMAN}
 
 
 def sentences(text: str) -> list[str]:
@@ -104,8 +104,11 @@ def _apart(gap: str) -> bool:
 
 
 def cites(sentence: str) -> bool:
-    """Whether a sentence cites a case."""
-    return any(sign in sentence and form.search(sentence) for sign, form in _CITED)
+    """Whether a sentence cites a case; what each form must hold is looked for first."""
+    return bool(
+        ("[" in sentence and _NEUTRAL.search(sentence)) or ("/" in sentence and _FILE.search(sentence)) or ("(" in sentence and _VOLUME.search(sentence))
+        or (" v" in sentence and _VERSUS.search(sentence)) or ("Re " in sentence and _MATTER.search(sentence)) or (". " in sentence and _REPORT.search(sentence))
+    )
 
 
 def _free(cased: str, low: str) -> bool:
@@ -189,24 +192,38 @@ def _mentions(hits: list, cased: str, low: str, start: int, stop: int, least: in
     return {s: m for s, m in out.items() if len(m) >= least}
 
 
-def company(parts: list[str], tokens: list[set[str]], own: str | None, lex: Lexicon, automata: list) -> Iterator[tuple[str, int, set[str]]]:
+def word_sets(parts: list[str]) -> list[set[bytes]]:
+    """The words of each sentence in lower case, in UTF-8: what stands between signs and digits."""
+    low = _END.join(parts).lower()
+    if not low.isascii():
+        for sign in _SIGNS:
+            if sign in low:
+                low = low.replace(sign, " ")
+    raw = low.encode("utf-8", "replace").translate(_LETTERS)
+    for edge in (b" '", b"' ", b" -", b"- "):
+        raw = raw.replace(edge, b"  ")
+    return [set(x.split()) for x in raw.split(b"\x01")]
+
+
+def company(parts: list[str], tokens: list[set[bytes]], own: str | None, frame: set[bytes], automata: list) -> Iterator[tuple[str, int, set[bytes]]]:
     """Words that stand in a sentence beside mentions of a subject of which they are no part: the
     subject, the class of the mentions, or CLASSES if of several, and the words. Names are left out
-    as far as a capital tells them. ``tokens`` are the words, in lower case, of the sentences ``parts``.
+    as far as a capital tells them. ``tokens`` are the word sets of the sentences ``parts``.
     """
     for k, low, mentions in scan(parts, automata, own, 1):
-        small = tokens[k] - lex.frame
-        names = _NAME.findall(parts[k])
-        if names and not (len(GERMAN & tokens[k]) >= 2 or parts[k].isupper()):
-            small.difference_update([n.lower() for n in names[parts[k].lstrip(_OPENING).startswith(names[0]) :]])
+        small = tokens[k] - frame
+        if len(_GERMAN & tokens[k]) < 2 and not parts[k].isupper():
+            names = [w for w in parts[k].lstrip(_OPENING).split(" ")[1:] if "A" <= w < "[" or "À" <= w < "ß"]
+            if names:
+                small -= word_sets([" ".join(names)])[0]
         for subject, spots in mentions.items():
             classes = []
-            part: dict[str, list[int]] = {}  # classes of the mentions of which a word is part
+            part: dict[bytes, list[int]] = {}  # classes of the mentions of which a word is part
             for a, b, _ in spots:
-                mention = low[a:b]
-                c = crc32(mention.encode()) % CLASSES
+                mention = low[a:b].encode()
+                c = crc32(mention) % CLASSES
                 classes.append(c)
-                for word in mention.split(" "):
+                for word in mention.split(b" "):
                     part.setdefault(word, []).append(c)
             kinds = set(classes)
             beside = {next(iter(kinds)) if len(kinds) == 1 else CLASSES: small.difference(part)}
@@ -286,6 +303,7 @@ def corpus_terms(docs: DataFrame, lex: Lexicon) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = pickle.loads(shared.value)
         automata = [lex.automaton()] if lex.terms else []
+        frame = {w.encode() for w in lex.frame}
         total: Counter = Counter()
         beside: dict[tuple[str, int], Counter] = defaultdict(Counter)
         files: dict[str, Counter] = defaultdict(Counter)
@@ -294,7 +312,7 @@ def corpus_terms(docs: DataFrame, lex: Lexicon) -> DataFrame:
             keys = [*((w, None, None) for w in total), *((w, s, c) for (s, c), words in beside.items() for w in words)]
             n = [*total.values(), *(n for words in beside.values() for n in words.values())]
             bits = [*([0] * len(total)), *(files[s][w] for (s, _), words in beside.items() for w in words)]
-            batch = pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))), pa.array(n, pa.int64()), pa.array(bits, pa.int64())], ["term", "subject", "class", "n", "files"])
+            batch = pa.RecordBatch.from_arrays([pa.array([w.decode() for w, _, _ in keys], pa.string()), pa.array([s for _, s, _ in keys], pa.string()), pa.array([c for _, _, c in keys], pa.int32()), pa.array(n, pa.int64()), pa.array(bits, pa.int64())], ["term", "subject", "class", "n", "files"])
             total.clear(), beside.clear(), files.clear()
             return batch
 
@@ -302,11 +320,11 @@ def corpus_terms(docs: DataFrame, lex: Lexicon) -> DataFrame:
             for bit, own, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if text and automata:
                     parts = list(dict.fromkeys(sentences(text)))
-                    tokens = [set(_WORD.findall(sentence.lower())) for sentence in parts]
+                    tokens = word_sets(parts)
                     for words in tokens:
                         total.update(words)
-                    seen: dict[str, set[str]] = defaultdict(set)
-                    for subject, c, words in company(parts, tokens, own, lex, automata):
+                    seen: dict[str, set[bytes]] = defaultdict(set)
+                    for subject, c, words in company(parts, tokens, own, frame, automata):
                         beside[subject, c].update(words)
                         seen[subject] |= words
                     for subject, words in seen.items():
