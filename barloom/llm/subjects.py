@@ -36,6 +36,7 @@ MENTIONS = 2  # mentions that a sentence needs for a subject: one alone may be a
 TERMS = 3  # mentions that a subject needs in all such sentences: as many as a headnote has
 EXAMPLES = 10_000  # labelled passages of a subject that are taken at most
 BLOCK = 100_000  # terms in one automaton
+GAP = 5  # letters between two terms of one mention, blanks included
 FLUSH = 500_000  # words that a task counts before it hands them on
 
 # Words that join two things, so that what they join are two mentions.
@@ -61,7 +62,6 @@ _BEFORE = "(\"'«„“‘[/"  # signs that may stand before a word, beside a bl
 _END = "\x01"
 _SIGNS = "«»„“”‚‘’…–—§€£·•¿¡†‡°ºª"  # the usual signs beyond ASCII
 _LETTERS = bytes(i if i > 127 or chr(i).isalpha() or chr(i) in "'-\x01" else 32 for i in range(256))
-_GERMAN = {w.encode() for w in GERMAN}
 
 
 def sentences(text: str) -> list[str]:
@@ -100,7 +100,7 @@ def seed_lexicon(examples: list[tuple[str, str]]) -> Lexicon:
 
 def _apart(gap: str) -> bool:
     """Whether what stands between two terms makes two mentions of them: more than one short word."""
-    return gap != " " and (len(gap) > 5 or gap in JOINING or not gap.replace(" ", "").replace("'", "").isalpha())
+    return gap in JOINING or gap.count(" ") > 2 or not gap.replace(" ", "").replace("'", "").isalpha()
 
 
 def cites(sentence: str) -> bool:
@@ -171,25 +171,31 @@ def scan(parts: list[str], automata: list, own: str | None = None, least: int =
 def _mentions(hits: list, cased: str, low: str, start: int, stop: int, least: int) -> dict[str, list[tuple[int, int, float]]]:
     """Mentions of one sentence by subject, of subjects with ``least`` of them."""
     first = free = None
-    groups: list[list[tuple[int, int, str, float]]] = []
-    for hit in hits:
-        at = hit[0]
+    groups: list[list] = []
+    last = None
+    for at, end, subject, w in hits:
         if cased[at] != low[at]:
             if free is None:
                 free, first = _free(cased[start:stop], low[start:stop]), start + _begin(low[start:stop])
             if not free and at > first:
                 continue
-        if groups and not _apart(low[groups[-1][-1][1] : at]):
-            groups[-1].append(hit)
+        if last is not None and (at - last == 1 or (at - last <= GAP and not _apart(low[last:at]))):
+            group = groups[-1]
+            group[1] = end - start
+            if (w, subject) > (group[2], group[3]):
+                group[2], group[3] = w, subject
         else:
-            groups.append([hit])
+            groups.append([at - start, end - start, w, subject])
+        last = end
     if len(groups) < least:
         return {}
     out: dict[str, list[tuple[int, int, float]]] = {}
-    for g in groups:
-        _, _, subject, w = g[0] if len(g) == 1 else max(g, key=lambda h: (h[3], h[2]))
-        out.setdefault(subject, []).append((g[0][0] - start, g[-1][1] - start, w))
-    return {s: m for s, m in out.items() if len(m) >= least}
+    for a, b, w, subject in groups:
+        if subject in out:
+            out[subject].append((a, b, w))
+        else:
+            out[subject] = [(a, b, w)]
+    return out if least == 1 else {s: m for s, m in out.items() if len(m) >= least}
 
 
 def word_sets(parts: list[str]) -> list[set[bytes]]:
@@ -205,17 +211,16 @@ def word_sets(parts: list[str]) -> list[set[bytes]]:
     return [set(x.split()) for x in raw.split(b"\x01")]
 
 
-def company(parts: list[str], tokens: list[set[bytes]], own: str | None, frame: set[bytes], automata: list) -> Iterator[tuple[str, int, set[bytes]]]:
+def company(parts: list[str], tokens: list[set[bytes]], own: str | None, automata: list) -> Iterator[tuple[str, int, set[bytes]]]:
     """Words that stand in a sentence beside mentions of a subject of which they are no part: the
     subject, the class of the mentions, or CLASSES if of several, and the words. Names are left out
-    as far as a capital tells them. ``tokens`` are the word sets of the sentences ``parts``.
+    as far as a capital tells them. ``tokens`` are the words in question of the sentences ``parts``.
     """
     for k, low, mentions in scan(parts, automata, own, 1):
-        small = tokens[k] - frame
-        if len(_GERMAN & tokens[k]) < 2 and not parts[k].isupper():
-            names = [w for w in parts[k].lstrip(_OPENING).split(" ")[1:] if "A" <= w < "[" or "À" <= w < "ß"]
-            if names:
-                small -= word_sets([" ".join(names)])[0]
+        small = tokens[k]
+        names = [w for w in parts[k].lstrip(_OPENING).split(" ")[1:] if "A" <= w < "[" or "À" <= w < "ß"]
+        if names and not _free(parts[k], low):
+            small = small.difference(*word_sets([" ".join(names)]))
         for subject, spots in mentions.items():
             classes = []
             part: dict[bytes, list[int]] = {}  # classes of the mentions of which a word is part
@@ -320,11 +325,11 @@ def corpus_terms(docs: DataFrame, lex: Lexicon) -> DataFrame:
             for bit, own, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if text and automata:
                     parts = list(dict.fromkeys(sentences(text)))
-                    tokens = word_sets(parts)
+                    tokens = [words - frame for words in word_sets(parts)]
                     for words in tokens:
                         total.update(words)
                     seen: dict[str, set[bytes]] = defaultdict(set)
-                    for subject, c, words in company(parts, tokens, own, frame, automata):
+                    for subject, c, words in company(parts, tokens, own, automata):
                         beside[subject, c].update(words)
                         seen[subject] |= words
                     for subject, words in seen.items():
