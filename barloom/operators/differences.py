@@ -52,7 +52,9 @@ def stroke_differences(left: DataFrame, right: DataFrame, shard_rows: int = SHAR
     rows = rows.withColumn("roll", F.sum(F.shiftright(F.xxhash64("symbol", "logical_id"), 8)).over(order.rowsBetween(1 - ROLL, 0)))
     rows = rows.withColumn("chunk", F.sum(F.when(F.pmod("roll", F.lit(CHUNK)) == 0, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = stash(rows.drop("roll"), "chunked")
+    # a hash passes over nulls, so that which facts are null is a fact of its own
     facts = ("symbol", "logical_id", cell("start_price"), cell("end_price"), "status")
+    facts = (*facts, *(F.isnull(c) for c in ("symbol", "start_price", "end_price", "status")))
     prints = rows.groupBy("shard", "side", "chunk").agg(
         F.struct(F.count("*"), F.bit_xor(F.xxhash64(*facts)), F.bit_xor(F.xxhash64(F.lit(7), *facts))).alias("print")
     )

@@ -176,6 +176,16 @@ def test_differences_against_brute_force(spark):
     assert stroke_differences(empty, empty).count() == 0
 
 
+def test_differences_of_swapped_nulls(spark):
+    a = [("S" if i % 2 else None, f"id{i}", 1, None, 5.0, None if i % 3 else "X", "", "") for i in range(40)]
+    b = [(s, o, r, 5.0, None, t, "", "") for s, o, r, _, _, t, _, _ in a]
+    got = {tuple(r) for r in stroke_differences(spark.createDataFrame(a, STROKES), spark.createDataFrame(b, STROKES)).collect()}
+    assert got == {(r[0], r[1], d) for r in a for d in ("start_price", "end_price")}
+    nan = [(*r[:3], float("nan"), *r[4:]) for r in a]
+    got = stroke_differences(spark.createDataFrame(nan, STROKES), spark.createDataFrame(nan, STROKES))
+    assert got.count() == 0
+
+
 RAW = "symbol string, feed string, bar_index long, timestamp timestamp_ntz, open double, high double, low double, close double, volume double, received_at timestamp_ntz, bucket string, me string"
 
 
