@@ -213,6 +213,57 @@ def test_implausible_bars(spark, bucket):
     assert got == {(20, "spike"), (31, "spike"), (32, "spike"), (80, "impossible"), (90, "impossible"), *((i, "stuck") for i in range(125, 133))}
 
 
+def test_the_forest_selects(spark, monkeypatch):
+    """Two ways of scoring give the same rows, which match the plain rule; another forest gives others."""
+    import barloom.operators.spikes as spikes
+
+    rnd = random.Random(11)
+    t0 = dt.datetime(2020, 1, 1)
+    rows = []
+    for symbol, feed, scale in (("A", "f", 0.001), ("B", "f", 0.001), ("C", None, 0.01), (None, "g", 0.005)):
+        c = 100.0
+        for i in range(1500):
+            c *= 1 + rnd.choice([-1, 1]) * rnd.uniform(0.5, 1.5) * scale * (rnd.random() < 0.9)
+            x = c * (1 + rnd.choice([-1, 1]) * rnd.uniform(20, 60) * scale) if rnd.random() < 0.01 else c
+            rows.append((symbol, feed, i, t0 + dt.timedelta(hours=i), x, x * 1.0001, x * 0.9999, x, 1.0, t0, "", ""))
+    df = spark.createDataFrame(rows, RAW).persist()
+    got = {tuple(r) for r in implausible_bars(df, 256).collect()}
+    want = set()
+    for symbol in ("A", "B", "C", None):
+        mine = [r for r in rows if r[0] == symbol]
+        feed = [r for r in rows if r[1] == mine[0][1]]
+        steps = sorted(abs(b[7] / a[7] - 1) for a, b in zip(feed, feed[1:]) if a[0] == b[0] and a[7] != b[7])
+        limit = 25 * steps[(len(steps) - 1) // 2]
+        off = lambda k, a, b: min(abs(mine[k][7] / mine[a][7] - 1), abs(mine[k][7] / mine[b][7] - 1)) if 0 <= a and b < len(mine) else 0
+        for k in range(len(mine)):
+            if max(off(k, k - 1, k + 1), min(off(k, k - 1, k + 2), off(k + 1, k - 1, k + 2) if k + 2 < len(mine) else 0), min(off(k, k - 2, k + 1), off(k - 1, k - 2, k + 1))) > limit * 1.001:
+                want.add((symbol, k, "spike"))
+    spikes_ = {g for g in got if g[2] == "spike"}
+    assert want and want <= spikes_ and len(spikes_ - want) <= 0.02 * len(want)
+    monkeypatch.setattr(spikes, "SENT", 0)
+    monkeypatch.setattr(spikes, "SHARD", 700)
+    assert {tuple(r) for r in implausible_bars(df, 256).collect()} == got
+    monkeypatch.undo()
+    monkeypatch.setattr(spikes, "limit_score", lambda forest, x, k: 2.0)  # a forest that selects nothing
+    assert {r.kind for r in implausible_bars(df, 256).collect()} <= {"impossible"}
+
+
+def test_the_forest_rejects_most_readings():
+    import numpy as np
+    import pandas as pd
+
+    from barloom.operators.spikes import flag, score, train, features
+
+    rng = np.random.default_rng(1)
+    n = 2048
+    p = pd.DataFrame({"symbol": "A", "bar_index": range(n), "hour": 0, "excess": rng.exponential(0.3, n) * 1e-3, "step": rng.exponential(1, n) * 1e-3, "run": rng.integers(1, 3, n), "usual": 1e-3, "run95": 2, "luck": range(n)})
+    model = train(p)
+    s = score(model["forest"], features(p, model))
+    assert (s < model["cut"]["spike"]).mean() > 0.9 and (s < model["cut"]["stuck"]).mean() > 0.9
+    p.loc[7, "excess"], p.loc[9, "run"] = 0.026, 9
+    assert set(zip(flag(p, model)["bar_index"], flag(p, model)["kind"])) == {(7, "spike"), (9, "stuck")}
+
+
 def test_implausible_bars_empty_and_null(spark):
     assert implausible_bars(spark.createDataFrame([], RAW)).count() == 0
     nulls = [(None, None, i, None, None, None, None, None, None, None, "", "") for i in range(3)]
