@@ -96,8 +96,21 @@ def test_history_against_brute_force(spark, seed):
             if rnd.random() < 0.9:
                 rows.append((len(rows), rnd.choice("AB"), b, rnd.choice([f"o{o}", f"o{o}", f"o{o}", None]), rnd.choice([1, 1, 1, 2]), rnd.choice([" confirmed", "CONFIRMED ", "Candidate", None]), rnd.choice([None, None, 5]), "d", 1))
     rows += rows[:7]
-    got = version_history(spark.createDataFrame(rows, SNAP))
-    assert {tuple(r) for r in got.collect()} == brute_history(rows)
+    for shape in ((16, 32), (1, 2)):
+        got = version_history(spark.createDataFrame(rows, SNAP), *shape).collect()
+        assert {tuple(r) for r in got} == brute_history(rows) and len(got) == len(set(got))
+
+
+def test_history_of_unchanged_and_vanishing_objects(spark):
+    rows, seq = [], 0
+    for b in range(60):
+        for o in range(40):
+            if (o, b // 20) != (3, 1):  # object 3 vanishes and returns
+                seq += 1
+                rows.append((seq, "S", b, f"o{o}", None if o == 5 and b >= 30 else 1, None if o == 6 and b < 10 else "X", b // 50 if o == 7 else None, "d", 1))
+    for shape in ((16, 32), (2, 4)):
+        got = version_history(spark.createDataFrame(rows, SNAP), *shape).collect()
+        assert {tuple(r) for r in got} == brute_history(rows) and len(got) == 40 + 4
 
 
 def test_history_empty_and_null(spark):
