@@ -6,6 +6,9 @@ that batch chunks and streaming batches run the same code.
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 UP, DOWN = 1, -1
 
 
@@ -85,26 +88,39 @@ def relation(a: dict, b: dict) -> str:
     return "APART"
 
 
-def normalise_features(strokes: list[dict]) -> tuple[list[dict], str | None]:
+def canonical_key(kind: str, **content) -> str:
+    """Content address of a record: SHA-256 of its JSON with sorted keys."""
+    return hashlib.sha256(json.dumps({"kind": kind, **content}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def _element(sequence: str, low: float, high: float, sources: list, ends: dict[str, dict], visible: int) -> dict:
+    """A feature element with its content-addressed id; ``ends`` are its start, end, high and low."""
+    body = "|".join([sequence, ",".join(s["logical_id"] for s in sources), repr(low), repr(high), *(ends[k]["endpoint_id"] for k in ("start", "end", "high", "low"))])
+    return {"id": "feature:" + hashlib.sha256(body.encode()).hexdigest()[:20], "low": low, "high": high, "sources": sources, "ends": ends, "visible": visible}
+
+
+def normalise_features(strokes: list[dict], sequence: str = "") -> tuple[list[dict], str | None]:
     """Standard elements of the feature strokes of a sequence, or the reason why there are none.
 
-    Elements have low, high, stroke numbers, the bars of their bounds and the bar that shows them.
+    Of two ends at the same price the one with the earlier bar stands, then the smaller id.
     """
     out: list[dict] = []
     seed = None
     for s in strokes:
-        low, high = min(s["start_price"], s["end_price"]), max(s["start_price"], s["end_price"])
+        end = lambda side: {"endpoint_id": s[f"{side}_fractal_id"], "price": s[f"{side}_price"], "bar_index": s[f"{side}_bar_index"], "defining_stroke_logical_ids": [s["logical_id"]]}  # noqa: B023, E731
+        ends = {"start": end("start"), "end": end("end")}
         down = s["start_price"] > s["end_price"]
-        e = {"low": low, "high": high, "strokes": [s["n"]], "visible": s["confirmed_at_bar"],
-             "high_bar": s["start_bar_index"] if down else s["end_bar_index"], "low_bar": s["end_bar_index"] if down else s["start_bar_index"]}
+        ends |= {"high": ends["start" if down else "end"], "low": ends["end" if down else "start"]}
+        e = _element(sequence, ends["low"]["price"], ends["high"]["price"], [s], ends, s["confirmed_at_bar"])
         last = out[-1] if out else None
         if last and relation(last, e) != "APART":
             if seed is None:
                 return [], "SEGMENT_FEATURE_INCLUSION_UNSEEDED"
             pick = max if seed == UP else min
             low, high = pick(last["low"], e["low"]), pick(last["high"], e["high"])
-            bar = lambda k, v: min(x[f"{k}_bar"] for x in (last, e) if x[k] == v)  # noqa: B023, E731
-            out[-1] = {"low": low, "high": high, "strokes": last["strokes"] + e["strokes"], "visible": max(last["visible"], e["visible"]), "high_bar": bar("high", high), "low_bar": bar("low", low)}
+            bound = lambda k, v: min((x["ends"][k] for x in (last, e) if x["ends"][k]["price"] == v), key=lambda p: (p["bar_index"], p["endpoint_id"], p["defining_stroke_logical_ids"]))  # noqa: B023, E731
+            ends = {"start": last["ends"]["start"], "end": e["ends"]["end"], "high": bound("high", high), "low": bound("low", low)}
+            out[-1] = _element(sequence, low, high, last["sources"] + e["sources"], ends, max(last["visible"], e["visible"]))
             continue
         if last:
             seed = UP if e["high"] > last["high"] else DOWN
@@ -112,39 +128,48 @@ def normalise_features(strokes: list[dict]) -> tuple[list[dict], str | None]:
     return out, None
 
 
-def primary_segment(strokes: list[dict]) -> dict:
-    """Outcome of one sequence of confirmed, contiguous strokes, with the segment it confirms."""
+# The rules that keys of evidence name.
+RULES = "minimal_segment_canonical_rules_v1@1.0.1"
+
+
+def primary_segment(strokes: list[dict], sequence: str = "") -> dict:
+    """Outcome of one sequence of sound strokes, with its evidence and the segment it confirms."""
     direction = strokes[0]["direction"]
-    elements, reason = normalise_features([s for s in strokes if s["direction"] != direction])
-    result = {"direction": direction, "outcome": reason, "elements": len(elements), "segment": None}
+    elements, reason = normalise_features([s for s in strokes if s["direction"] != direction], sequence)
+    result = {"direction": direction, "outcome": reason, "elements": len(elements), "evidence": None, "segment": None}
     if reason:
         return result
     if len(elements) < 3:
-        return result | {"outcome": "FEATURE_WINDOW_INCOMPLETE"}
-    for a, b, c in zip(elements, elements[1:], elements[2:]):
+        return result | {"outcome": "SEGMENT_FEATURE_WINDOW_INCOMPLETE"}
+    for window in zip(elements, elements[1:], elements[2:]):
+        a, b, c = window
         if direction == "UP":
             found = b["high"] > max(a["high"], c["high"]) and b["low"] > max(a["low"], c["low"])
         else:
             found = b["high"] < min(a["high"], c["high"]) and b["low"] < min(a["low"], c["low"])
         if not found:
             continue
-        if a["high"] < b["low"] or b["high"] < a["low"]:
-            return result | {"outcome": "SECOND_CASE_PENDING"}
-        end_bar, end_price = (b["high_bar"], b["high"]) if direction == "UP" else (b["low_bar"], b["low"])
-        ends = [s for s in strokes if s["direction"] == direction and s["end_bar_index"] == end_bar and s["end_price"] == end_price]
+        gap = a["high"] < b["low"] or b["high"] < a["low"]
+        case, fractal = "SECOND_CASE_PENDING" if gap else "FIRST_CASE", "TOP" if direction == "UP" else "BOTTOM"
+        end = b["ends"]["high" if direction == "UP" else "low"]
+        key = canonical_key("PRIMARY_DESTRUCTION_V1", case=case, candidate_direction=direction, sequence_id=sequence, element_ids=[e["id"] for e in window], fractal_type=fractal, endpoint=end, rule_version=RULES)
+        result["evidence"] = {"key": key, "case": case, "fractal": fractal, "endpoint": end, "elements": [e["id"] for e in window]}
+        if gap:
+            second = hashlib.sha256(f"{sequence}|{key}|{end['endpoint_id']}".encode()).hexdigest()[:20]
+            result["evidence"]["secondary"] = f"secondary:{second}"
+            return result | {"outcome": "SEGMENT_SECOND_CASE_PENDING"}
+        ends = [i for i, s in enumerate(strokes) if s["direction"] == direction and (s["end_fractal_id"], s["end_bar_index"], s["end_price"]) == (end["endpoint_id"], end["bar_index"], end["price"])]
         if len(ends) != 1:
-            return result | {"outcome": "SEGMENT_BOUNDARY_NOT_UNIQUE"}
-        prefix = [s for s in strokes if s["end_bar_index"] <= end_bar]
+            return result | {"outcome": "SEGMENT_FIRST_CASE_BOUNDARY_NOT_UNIQUE"}
+        prefix = strokes[: ends[0] + 1]
         if len(prefix) < 3 or len(prefix) % 2 == 0:
-            return result | {"outcome": "SEGMENT_PREFIX_INVALID"}
-        confirmed = max(x["visible"] for x in (a, b, c))
-        if confirmed < end_bar:
+            return result | {"outcome": "SEGMENT_FIRST_CASE_WINDOW_INVALID"}
+        confirmed = max(x["visible"] for x in window)
+        if confirmed < end["bar_index"]:
             return result | {"outcome": "CONFIRMATION_TIME_BACKFILL_FORBIDDEN"}
-        window = [n for x in (a, b, c) for n in x["strokes"]]
-        by_n = {s["n"]: s for s in strokes}
-        return result | {"outcome": "FIRST_CASE_CONFIRMED", "segment": {
-            "start": prefix[0], "end": prefix[-1], "strokes": [s["n"] for s in prefix], "features": window,
-            "destruction": [n for n in window if by_n[n]["end_bar_index"] > end_bar], "confirmed_at_bar": confirmed,
-            "end_price": end_price, "end_bar_index": end_bar,
+        sources = [s for x in window for s in x["sources"]]
+        return result | {"outcome": "SEGMENT_FIRST_CASE_CONFIRMED", "segment": {
+            "start": prefix[0], "end": prefix[-1], "strokes": prefix, "features": sources, "destruction": [s for s in sources if s["end_bar_index"] > end["bar_index"]],
+            "confirmed_at_bar": confirmed, "end_price": end["price"], "end_bar_index": end["bar_index"],
         }}
-    return result | {"outcome": "PRIMARY_FRACTAL_NOT_FOUND"}
+    return result | {"outcome": "SEGMENT_PRIMARY_FRACTAL_NOT_FOUND"}

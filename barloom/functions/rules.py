@@ -54,12 +54,15 @@ def primary_destruction(direction: Column, a: Interval, b: Interval, c: Interval
     return case, F.when(found, F.when(direction == "UP", b[1]).otherwise(b[0]))
 
 
-def second_case_outcome(confirmed_at: Column, strict_extreme: Column, observed_at: Column) -> tuple[Column, Column]:
-    """State and reason of a pending second case, whatever the order in which evidence arrived."""
+def second_case_state(confirmed_at: Column, strict_extreme: Column, observed_at: Column) -> tuple[Column, Column]:
+    """State and reason of a pending second case from bound evidence; ``second_case`` checks the binding."""
     extreme = F.coalesce(strict_extreme, F.lit(False))
     wins = confirmed_at.isNotNull() & (~extreme | (confirmed_at <= observed_at))
-    state = F.when(wins, "CONFIRMED").when(extreme, "INVALIDATED").otherwise("PENDING")
-    reason = F.when(wins, "SECONDARY_FRACTAL_CONFIRMED").when(extreme, "STRICT_EXTREME_FIRST").when(strict_extreme.isNotNull(), "NON_STRICT_EXTREME").otherwise("AWAITING_EVIDENCE")
+    state = F.when(wins, "SECOND_CASE_CONFIRMED").when(extreme, "INVALIDATED").otherwise("SECOND_CASE_PENDING")
+    reason = (
+        F.when(wins, "SECOND_SEQUENCE_FRACTAL_CONFIRMED").when(extreme, "PENDING_DESTRUCTION_INVALIDATED")
+        .when(strict_extreme.isNotNull(), "ORIGINAL_DIRECTION_EXTREME_NOT_STRICT").otherwise("SECOND_CASE_EVIDENCE_PENDING")
+    )
     return state, reason
 
 
@@ -109,30 +112,71 @@ def arbitrate(candidates: DataFrame, group: str = "pool") -> DataFrame:
     return x.withColumn("outcome", outcome).drop("_w")
 
 
-def window_contract(w: list[dict[str, Column]], status_wanted: str = "CONFIRMED") -> Column:
-    """First reason against a window of strokes (direction, start_fractal_id, end_fractal_id,
-    start_bar_index, end_bar_index, status), null if it is accepted.
+# The profile that keys of candidates name, and the schemes of their identity.
+CONTRACT = ["minimal_segment_contract_v1", "0.1.0", "CONTRACT_ONLY", "logical_id_and_content_hash"]
+
+
+def _records(strokes: list[Column], prefix: str) -> list[tuple[Column, str]]:
+    checks = []
+    for s in strokes:
+        checks.append((F.coalesce(s["stroke_id"] == "", F.lit(True)), f"{prefix}_STROKE_ID_REQUIRED"))
+        checks.append((F.coalesce(s["logical_id"] == "", F.lit(True)), f"{prefix}_LOGICAL_ID_REQUIRED"))
+        checks.append((F.coalesce((s["start_bar_index"] < 0) | (s["end_bar_index"] <= s["start_bar_index"]), F.lit(True)), f"{prefix}_STROKE_BAR_RANGE_INVALID"))
+    if len(strokes) > 1:
+        checks.append((F.size(F.array_distinct(F.array(*[s["logical_id"] for s in strokes]))) < len(strokes), f"{prefix}_DUPLICATE_STROKE_ID"))
+    return checks
+
+
+def _sequence(strokes: list[Column], prefix: str) -> list[tuple[Column, str]]:
+    checks = []
+    for a, b in zip(strokes, strokes[1:]):
+        checks.append((a["direction"] == b["direction"], f"{prefix}_DIRECTION_NOT_ALTERNATING"))
+        checks.append((~a["end_fractal_id"].eqNullSafe(b["start_fractal_id"]) | ~a["end_bar_index"].eqNullSafe(b["start_bar_index"]), f"{prefix}_ENDPOINT_NOT_CONTIGUOUS"))
+        checks.append((b["end_bar_index"] <= a["end_bar_index"], f"{prefix}_BAR_ORDER_INVALID"))
+    return checks
+
+
+def candidate_contract(w: list[Column], target: str, evidence: list[Column] = (), identity: tuple[str, ...] = tuple(CONTRACT)) -> Column:
+    """Struct of reason_code, accepted, candidate_key, evidence_key, direction, feature_stroke_ids and
+    earliest_bar of a window of strokes (structs with stroke_id, logical_id, direction, fractal ids, bars,
+    status and content hash) for a target status. It never makes a segment. A null evidence stroke
+    stands for evidence that is missing.
     """
-    reason = F.lit(None).cast("string")
-    checks = [(F.lit(len(w) < 3), "MINIMUM_STROKES"), (F.lit(len(w) % 2 == 0), "ODD_STROKE_COUNT_REQUIRED")]
-    for s in w:
-        checks.append((~s["direction"].isin("UP", "DOWN"), "DIRECTION_INVALID"))
-        checks.append((s["start_bar_index"] >= s["end_bar_index"], "INVALID_BAR_RANGE"))
-    for a, b in zip(w, w[1:]):
-        checks.append((a["direction"] == b["direction"], "DIRECTIONS_NOT_ALTERNATING"))
-        checks.append((~a["end_fractal_id"].eqNullSafe(b["start_fractal_id"]), "STROKES_NOT_CONTIGUOUS"))
-    checks.append((w[0]["direction"] != w[-1]["direction"], "FIRST_LAST_DIRECTION_MISMATCH"))
-    for s in w[:-1]:
-        checks.append((s["status"] != "CONFIRMED", "UNCONFIRMED_WINDOW_STROKE"))
-    checks.append((w[-1]["status"] != status_wanted, "TAIL_STATUS_INVALID"))
+    confirmed = target == "CONFIRMED"
+    given = F.lit(bool(evidence)) if not evidence else evidence[0].isNotNull()
+    sure = lambda s: F.coalesce(s["status"] == "CONFIRMED", F.lit(False))
+    if target not in ("CANDIDATE", "PROVISIONAL", "CONFIRMED"):
+        checks = [(F.lit(True), "SEGMENT_TARGET_STATUS_UNSUPPORTED")]
+    else:
+        checks = [(given & F.lit(not confirmed), "SEGMENT_DESTRUCTION_EVIDENCE_NOT_ALLOWED_FOR_TARGET"), (F.lit(len(w) < 3), "SEGMENT_MINIMUM_STROKES"), (F.lit(len(w) % 2 == 0), "SEGMENT_ODD_STROKE_COUNT_REQUIRED")]
+        checks += _records(w, "SEGMENT") + _sequence(w, "SEGMENT_STROKE") + [(w[0]["direction"] != w[-1]["direction"], "SEGMENT_FIRST_LAST_DIRECTION_MISMATCH")]
+        if confirmed:
+            checks += [(~sure(s), "SEGMENT_UNCONFIRMED_WINDOW_STROKE") for s in w] + [(~given, "SEGMENT_DESTRUCTION_EVIDENCE_REQUIRED")]
+            if evidence:
+                own = F.array(*[s["logical_id"] for s in w])
+                checks += _records(evidence, "SEGMENT_DESTRUCTION_EVIDENCE")
+                for e in evidence:
+                    checks += [(F.array_contains(own, e["logical_id"]), "SEGMENT_DESTRUCTION_EVIDENCE_REUSES_WINDOW"), (~sure(e), "SEGMENT_DESTRUCTION_EVIDENCE_UNCONFIRMED")]
+                checks += [(evidence[0]["start_bar_index"] < w[-1]["end_bar_index"], "SEGMENT_DESTRUCTION_EVIDENCE_TOO_EARLY")] + _sequence([w[-1], *evidence], "SEGMENT_DESTRUCTION_EVIDENCE")
+        else:
+            checks += [(~sure(s), "SEGMENT_ONLY_TAIL_MAY_BE_PROVISIONAL") for s in w[:-1]] + [(~sure(w[-1]) & ~F.coalesce(w[-1]["status"] == "PROVISIONAL", F.lit(False)), "SEGMENT_TAIL_STATUS_INVALID")]
+    reason = F.lit("SEGMENT_CONTRACT_ELIGIBLE")
     for condition, code in reversed(checks):
         reason = F.when(condition, code).otherwise(reason)
-    return reason
+    named = lambda s: F.concat(s["logical_id"], F.lit(":"), s["content_hash"])
+    key = F.left(F.sha2(F.concat_ws("|", *map(F.lit, identity), *map(named, w)), 256), F.lit(20))
+    proof = F.left(F.sha2(F.concat_ws("|", key, F.lit("destruction_evidence_content_hash"), *map(named, evidence)), 256), F.lit(20))
+    ok = reason == "SEGMENT_CONTRACT_ELIGIBLE"
+    return F.struct(
+        reason.alias("reason_code"), ok.alias("accepted"), F.when(ok, key).alias("candidate_key"), F.when(ok & F.lit(confirmed), proof).alias("evidence_key"), F.when(ok, w[0]["direction"]).alias("direction"),
+        F.when(ok, F.array(*[s["stroke_id"] for s in w[1::2]])).alias("feature_stroke_ids"), F.when(ok & F.lit(confirmed), (evidence[-1] if evidence else w[-1])["end_bar_index"]).alias("earliest_bar"),
+    )
 
 
 def boundary_errors(segments: DataFrame) -> DataFrame:
     """Adds reason_code: why a confirmed segment can't follow the one before it in its symbol, null
-    if it can. Needs logical_id, direction, start and end endpoint ids, and start_bar_index.
+    if it can. Needs logical_id, direction, start and end endpoint ids, and start_bar_index; where the
+    column destroyer_direction is given, what destroys a segment must run against it.
     """
     w = Window.partitionBy("symbol").orderBy("start_bar_index", "logical_id")
     x = segments.withColumn("_p", F.lag(F.struct("logical_id", "direction", "end_endpoint_id")).over(w))
@@ -144,6 +188,8 @@ def boundary_errors(segments: DataFrame) -> DataFrame:
         .when(F.col("_p.direction") == F.col("direction"), "SG_ADJACENT_DIRECTION_NOT_ALTERNATING")
         .when(F.col("_p.end_endpoint_id") != F.col("start_endpoint_id"), "SG_ADJACENT_ENDPOINT_NOT_SHARED")
     )
+    if "destroyer_direction" in segments.columns:
+        reason = reason.when(F.col("destroyer_direction") == F.col("direction"), "SG_DESTROYER_DIRECTION_INVALID")
     return x.withColumn("reason_code", reason).drop("_p")
 
 

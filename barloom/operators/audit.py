@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.bars import short_hash, text
@@ -70,16 +70,51 @@ def fractal_hash():
     return short_hash("fractal_id", "fractal_type", "merged_bar_id", F.col("merged_bar_index").cast("string"), text("price"))
 
 
-def state_envelope(segments: DataFrame, strokes: DataFrame) -> DataFrame:
-    """A row for each sequence: outcome, identities and hashes, and a key over all of it."""
-    src = strokes.groupBy("symbol", "sequence_id").agg(F.count("*").alias("stroke_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("start_bar_index").alias("i"), stroke_hash().alias("h")))), lambda s: s["h"]), "|").alias("_h"))
-    src = src.select(F.col("symbol").alias("_s"), F.col("sequence_id").alias("_q"), "stroke_count", F.sha2("_h", 256).alias("source_hash"))
-    x = segments.join(src, (F.col("symbol") == F.col("_s")) & (F.col("sequence_id") == F.col("_q")))
-    x = x.select("symbol", "sequence_id", "outcome", "logical_id", "confirmed_at_bar", "stroke_count", "source_hash")
-    return x.withColumn("state_key", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in x.columns]), 256))
+def merged_hash():
+    return short_hash("bar_id", *[text(c) for c in ("open", "high", "low", "close")], F.array_join(F.array_sort("source_raw_bar_ids"), "|"), "merge_direction")
 
 
-def invalid_envelopes(stored: DataFrame, segments: DataFrame, strokes: DataFrame) -> DataFrame:
-    """Stored envelopes that a fresh derivation doesn't give."""
-    fresh = state_envelope(segments, strokes).select(F.col("symbol").alias("_s"), F.col("sequence_id").alias("_q"), F.col("state_key").alias("_k"))
-    return stored.join(fresh, (F.col("symbol") == F.col("_s")) & (F.col("sequence_id") == F.col("_q")) & (F.col("state_key") == F.col("_k")), "left_anti")
+# Fields that no hash of a result may depend on.
+VOLATILE = ["generated_at", "engine_version", "profile_version"]
+
+
+def _tree(rows: DataFrame, name: str, span: int = 10_000) -> DataFrame:
+    """Digest of each symbol's rows (symbol, at, h) in the order of ``at``: of spans of places first, then
+    of the spans' digests, so that no task holds all rows of a symbol.
+    """
+    part = rows.groupBy("symbol", F.floor(F.col("at") / span).alias("part")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), "|"), 256).alias("h"))
+    return part.groupBy("symbol").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "|"), 256).alias(name))
+
+
+def result_hash(tables: dict[str, DataFrame]) -> DataFrame:
+    """(symbol, structure_hash) over the content of merged bars, turning points and strokes."""
+    second = lambda c: F.when(F.col(c) == "BOTTOM", 1).otherwise(0)
+    parts = [
+        tables["merged"].select("symbol", F.col("bar_index").alias("at"), merged_hash().alias("h")), tables["fractals"].select("symbol", (F.col("merged_bar_index") * 2 + second("fractal_type")).alias("at"), fractal_hash().alias("h")),
+        tables["strokes"].select("symbol", F.col("start_bar_index").alias("at"), stroke_hash().alias("h")),
+    ]
+    named = [_tree(p, "h").select("symbol", F.lit(k).alias("k"), "h") for k, p in enumerate(parts)]
+    return reduce(DataFrame.unionByName, named).groupBy("symbol").agg(F.left(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "|"), 256), F.lit(16)).alias("structure_hash"))
+
+
+def log_hash(events: DataFrame) -> DataFrame:
+    """(symbol, log_hash) over all numbered events, whatever the order of the rows."""
+    body = F.sha2(F.to_json(F.struct(*sorted(c for c in events.columns if c not in ("symbol", *VOLATILE)))), 256)
+    return _tree(events.select("symbol", F.regexp_extract("event_id", r"(\d+)$", 1).cast("long").alias("at"), body.alias("h")), "log_hash")
+
+
+def confirmed_hash(objects: DataFrame, key: str) -> DataFrame:
+    """(symbol, confirmed_hash) over the confirmed objects, without the fields that may change from run to run."""
+    x = objects.where("status = 'CONFIRMED'")
+    order = F.row_number().over(Window.partitionBy("symbol", F.pmod(F.xxhash64(key), F.lit(64))).orderBy(key))
+    body = F.sha2(F.to_json(F.struct(*sorted(c for c in x.columns if c not in ("symbol", *VOLATILE)))), 256)
+    # hash classes stand for spans: within one, rows are ordered by key
+    return _tree(x.select("symbol", (F.pmod(F.xxhash64(key), F.lit(64)) * (1 << 40) + order).alias("at"), body.alias("h")), "confirmed_hash", 1 << 40)
+
+
+def revisions(objects: DataFrame) -> DataFrame:
+    """(symbol, logical_id, chain, latest): the object ids of each object in the order of its revisions."""
+    x = objects.select("symbol", "logical_id", "revision", "object_id").distinct()
+    chain = F.array_sort(F.collect_list(F.struct("revision", "object_id")))
+    x = x.groupBy("symbol", "logical_id").agg(chain.alias("c"))
+    return x.select("symbol", "logical_id", F.col("c.object_id").alias("chain"), F.element_at("c", -1)["object_id"].alias("latest"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.bars import merged_logical, numbered, short_hash
+from barloom.functions.bars import numbered
 from barloom.operators.fractals import fractal_replacements, identity
 
 COLUMNS = ["symbol", "stage", "ord", "sub", "event_type", "object_type", "object_id", "logical_id", "occurred_at_bar_id", "reason_code", "replaced_by"]
@@ -60,22 +60,15 @@ def number_events(events: DataFrame) -> DataFrame:
     return events.select("symbol", F.concat(F.lit("evt_"), F.lpad(n.cast("string"), 8, "0")).alias("event_id"), *[c for c in COLUMNS if c not in ("symbol", "stage", "ord", "sub")])
 
 
-def segment_intents(segments: DataFrame) -> DataFrame:
-    """Two content-addressed intents for each first case; none for other outcomes."""
-    x = segments.where("outcome = 'FIRST_CASE_CONFIRMED'")
-    body = F.concat_ws("|", "symbol", "sequence_id", "logical_id", F.col("confirmed_at_bar").cast("string"), F.array_join("stroke_ids", ","), F.array_join("destruction_stroke_ids", ","))
-    pair = F.array(*[F.struct(F.lit(e).alias("event_type"), F.lit(r).alias("reason_code")) for e, r in (("OBJECT_CREATED", "SEGMENT_FIRST_CASE_CREATED"), ("OBJECT_CONFIRMED", "SEGMENT_FIRST_CASE_CONFIRMED"))])
-    x = x.select("symbol", F.col("logical_id"), F.concat("segment_id", F.lit("_r1")).alias("object_id"), numbered("bar_", F.col("confirmed_at_bar")).alias("occurred_at_bar_id"), body.alias("_b"), F.explode(pair).alias("e"))
-    return x.select("symbol", "logical_id", "object_id", "occurred_at_bar_id", "e.event_type", "e.reason_code", short_hash(F.col("_b"), F.col("e.event_type"), length=24).alias("intent_key"))
+def events_of(log: DataFrame, object_id: str | None = None, logical_id: str | None = None, event_type: str | None = None) -> DataFrame:
+    """Events of one object, of all revisions of one, or of one type; several conditions must all hold."""
+    for c, v in (("object_id", object_id), ("logical_id", logical_id), ("event_type", event_type)):
+        if v is not None:
+            log = log.where(F.col(c) == v)
+    return log
 
 
-def new_intents(intents: DataFrame, known: DataFrame) -> DataFrame:
-    """Intents whose key isn't among the known ones; appending them twice changes nothing."""
-    keys = known.select(F.col("intent_key").alias("_k")).distinct()
-    return intents.join(keys, F.col("intent_key") == F.col("_k"), "left_anti").dropDuplicates(["intent_key"])
-
-
-def unsound_history(known: DataFrame) -> DataFrame:
-    """Objects with a confirmation but no creation, or with an event kept more than once."""
-    x = known.groupBy("symbol", "logical_id").agg(F.count_if(F.col("event_type") == "OBJECT_CREATED").alias("created"), F.count_if(F.col("event_type") == "OBJECT_CONFIRMED").alias("confirmed"))
-    return x.where("confirmed > created or created > 1 or confirmed > 1")
+def rebuild_events(bounds: DataFrame) -> DataFrame:
+    """The pair of events of each local rebuild (symbol, rebuild_id, from_bar_id, to_bar_id)."""
+    pair = F.array(*[F.struct(F.lit(e).alias("event_type"), F.lit(r).alias("reason_code"), F.col(c).alias("occurred_at_bar_id")) for e, r, c in (("LOCAL_REBUILD_STARTED", "TAIL_CHANGED", "from_bar_id"), ("LOCAL_REBUILD_COMPLETED", "TAIL_SETTLED", "to_bar_id"))])
+    return bounds.select("symbol", F.col("rebuild_id").alias("object_id"), F.lit("rebuild").alias("object_type"), F.explode(pair).alias("e")).select("symbol", "object_id", "object_type", "e.*")

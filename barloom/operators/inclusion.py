@@ -67,3 +67,17 @@ def provenance_errors(merged: DataFrame, bars: DataFrame) -> DataFrame:
     x = src.join(known, F.col("symbol").eqNullSafe(F.col("_s")) & (F.col("source") == F.col("_b")), "left")
     reason = F.when(F.col("source").isNull(), "SOURCE_MISSING").when(F.col("n") > 1, "SOURCE_REPEATED").when(F.col("_b").isNull(), "SOURCE_UNKNOWN")
     return x.select("symbol", "source", reason.alias("reason_code")).where("reason_code is not null")
+
+
+def registry_errors(bars: DataFrame) -> DataFrame:
+    """(symbol, bar_id, bar_index, reason_code) of bars that can't be told apart: no id, an id or an
+    index that another bar of the symbol has. None are allowed before the merge.
+    """
+    n = lambda c: F.count("*").over(Window.partitionBy("symbol", c))
+    first = F.row_number().over(Window.partitionBy("symbol", "bar_id").orderBy("bar_index"))
+    x = bars.select("symbol", "bar_id", "bar_index", n("bar_id").alias("_ids"), n("bar_index").alias("_at"), first.alias("_k"))
+    reason = (
+        F.when(F.coalesce(F.col("bar_id") == "", F.lit(True)), "RAW_BAR_ID_REQUIRED").when(F.coalesce(F.col("bar_index") < 0, F.lit(True)), "RAW_BAR_INDEX_INVALID")
+        .when((F.col("_ids") > 1) & (F.col("_k") > 1), "RAW_BAR_ID_DUPLICATE").when(F.col("_at") > 1, "RAW_BAR_INDEX_DUPLICATE")
+    )
+    return x.select("symbol", "bar_id", "bar_index", reason.alias("reason_code")).where("reason_code is not null")

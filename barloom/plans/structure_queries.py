@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import rules
 from barloom.functions.bars import validation_errors
-from barloom.operators import audit, events, quality, segments as seg
+from barloom.operators import audit, events, lifecycle, quality, segments as seg
 from barloom.operators.fractals import fractal_candidates, fractal_replacements, fractals
 from barloom.operators.inclusion import assign_merged, merged_bars, provenance_errors
 from barloom.operators.quality import flag_bars, input_checksum, quality_report, with_ordinals
@@ -91,7 +91,7 @@ def pen_break(s: SparkSession, d: str) -> DataFrame:
 
 def second_case(s: SparkSession, d: str) -> DataFrame:
     x = _tables(s, d)["strokes"].select("symbol", "stroke_id", F.when(F.col("end_bar_index") % 3 > 0, F.col("end_bar_index")).alias("confirmed_at"), F.when(F.col("start_bar_index") % 4 > 0, F.col("price_range") > 100).alias("strict_extreme"), (F.col("start_bar_index") + 7).alias("observed_at"))
-    state, reason = rules.second_case_outcome(F.col("confirmed_at"), F.col("strict_extreme"), F.col("observed_at"))
+    state, reason = rules.second_case_state(F.col("confirmed_at"), F.col("strict_extreme"), F.col("observed_at"))
     return x.select("symbol", "stroke_id", state.alias("state"), reason.alias("reason_code"))
 
 
@@ -102,11 +102,14 @@ def arbitration(s: SparkSession, d: str) -> DataFrame:
 
 
 def window_contract(s: SparkSession, d: str) -> DataFrame:
+    """Every three successive strokes as a candidate, and with the stroke after them as a segment."""
     w = Window.partitionBy("symbol").orderBy("end_bar_index")
-    fields = ["direction", "start_fractal_id", "end_fractal_id", "start_bar_index", "end_bar_index", "status"]
+    one = F.struct("stroke_id", "logical_id", "direction", "start_fractal_id", "end_fractal_id", "start_bar_index", "end_bar_index", "status", audit.stroke_hash().alias("content_hash"))
     x = _tables(s, d)["strokes"]
-    x = x.select("symbol", "stroke_id", *[F.lead(F.struct(*fields), k).over(w).alias(f"s{k}") for k in range(3)]).where("s2 is not null")
-    return x.select("symbol", "stroke_id", rules.window_contract([{f: F.col(f"s{k}.{f}") for f in fields} for k in range(3)]).alias("reason_code"))
+    x = x.select("symbol", "stroke_id", *[F.lead(one, k).over(w).alias(f"s{k}") for k in range(4)]).where("s2 is not null")
+    window = [F.col(f"s{k}") for k in range(3)]
+    x = x.select("symbol", "stroke_id", rules.candidate_contract(window, "PROVISIONAL").alias("p"), rules.candidate_contract(window, "CONFIRMED", [F.col("s3")]).alias("c"))
+    return x.select("symbol", "stroke_id", F.col("p.reason_code").alias("provisional"), F.col("c.reason_code").alias("confirmed"), F.length("p.candidate_key").alias("key_length"), F.length("c.evidence_key").alias("proof_length"), F.array_join("p.feature_stroke_ids", ",").alias("features"), F.col("c.earliest_bar").alias("earliest_bar"))
 
 
 def boundary_contract(s: SparkSession, d: str) -> DataFrame:
@@ -140,19 +143,15 @@ def consistency_diff(s: SparkSession, d: str) -> DataFrame:
     return audit.consistency(parse(bars), parse(bars, chunk=97))
 
 
-def intents_new(s: SparkSession, d: str) -> DataFrame:
-    intents = events.segment_intents(segments(_tables(s, d)))
-    return events.new_intents(intents, intents.where("event_type = 'OBJECT_CREATED'"))
-
-
 def lineage(s: SparkSession, d: str) -> DataFrame:
     t = _tables(s, d)
-    return audit.lineage_edges(t["merged"], t["fractals"], t["strokes"])
+    return audit.lineage_edges(t["merged"], t["fractals"], t["strokes"], segments(t))
 
 
 def envelope(s: SparkSession, d: str) -> DataFrame:
     t = _tables(s, d)
-    return audit.state_envelope(segments(t), t["sequences"])
+    seg_ = segments(t)
+    return _flat(lifecycle.checkpoint_states(seg_, t["sequences"], lifecycle.first_case_intents(seg_)).select("symbol", "sequence_id", "refusal", "outcome_code", "candidate_direction", F.size("source_stroke_content_hashes").alias("sources"), F.length("state_key").alias("key_length")))
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -182,9 +181,9 @@ QUERIES = {
     "stroke_sequences": lambda s, d: _tables(s, d)["sequences"].select("symbol", "stroke_id", "sequence_id"),
     "interval_rules": interval_rules,
     "feature_sequence": lambda s, d: seg.feature_sequence(_tables(s, d)["sequences"]),
-    "feature_elements": lambda s, d: _flat(seg.feature_elements(_tables(s, d)["sequences"])),
+    "feature_elements": lambda s, d: seg.feature_elements(_tables(s, d)["sequences"]).select("symbol", "sequence_id", "element_index", "low", "high", "visible_at_bar", F.array_join("stroke_ids", ",").alias("strokes"), "reason_code"),
     "segment_source_errors": lambda s, d: seg.source_errors(_tables(s, d)["sequences"]),
-    "segments": lambda s, d: _flat(segments(_tables(s, d))),
+    "segments": lambda s, d: segments(_tables(s, d)).select("symbol", "sequence_id", "outcome", "elements", "direction", "segment_id", "destruction_case"),
     "second_case_resolution": second_case,
     "winner_arbitration": arbitration,
     "lifecycle_resolution": lifecycle_resolution,
@@ -198,7 +197,6 @@ QUERIES = {
     "consistency_diff": consistency_diff,
     "lineage_edges": lineage,
     "lineage_closure": lambda s, d: audit.ancestors(lineage(s, d)),
-    "segment_intents_new": intents_new,
     "state_envelope": envelope,
     "retention_topn": retention,
 }
@@ -320,8 +318,8 @@ select symbol, sequence_id, row_number() over (partition by symbol, sequence_id
     "second_case_resolution": f"""with recursive {_STROKES}, e as (
   select symbol, stroke_id, case when end_bar_index % 3 > 0 then end_bar_index end c, case when start_bar_index % 4 > 0 then abs(end_price - start_price) > 100 end x, start_bar_index + 7 o from legs),
 w as (select *, c is not null and (not coalesce(x, false) or c <= o) wins from e)
-select symbol, stroke_id, case when wins then 'CONFIRMED' when coalesce(x, false) then 'INVALIDATED' else 'PENDING' end state,
-  case when wins then 'SECONDARY_FRACTAL_CONFIRMED' when coalesce(x, false) then 'STRICT_EXTREME_FIRST' when x is not null then 'NON_STRICT_EXTREME' else 'AWAITING_EVIDENCE' end reason_code from w""",
+select symbol, stroke_id, case when wins then 'SECOND_CASE_CONFIRMED' when coalesce(x, false) then 'INVALIDATED' else 'SECOND_CASE_PENDING' end state,
+  case when wins then 'SECOND_SEQUENCE_FRACTAL_CONFIRMED' when coalesce(x, false) then 'PENDING_DESTRUCTION_INVALIDATED' when x is not null then 'ORIGINAL_DIRECTION_EXTREME_NOT_STRICT' else 'SECOND_CASE_EVIDENCE_PENDING' end reason_code from w""",
     "winner_arbitration": f"""with recursive {_STROKES}, c as (
   select l.symbol || ':' || (l.end_bar_index // 40) pool, l.end_bar_index endpoint, l.start_bar_index "start", 'stroke:' || {_FRACTAL_LOGICAL.format("s.start_bar_index", "s.start_type")} || '->' || {_FRACTAL_LOGICAL.format("s.end_bar_index", "s.end_type")} logical_id, l.direction exclusivity
   from legs l join st s on s.symbol = l.symbol and s.end_bar_index = l.end_bar_index and s.start_bar_index = l.start_bar_index),
@@ -336,10 +334,16 @@ select *, case when reason_code is null then case when previously then case when
     "failed_pen_break": f"""select a.v observed, b.v formed, c.v countered, case when not a.v then 'NONE' when b.v then null when c.v then 'INVALIDATED' else 'NONE' end state,
   case when not a.v then 'PEN_BREAK_NOT_OBSERVED' when b.v then 'COMPLETED_FRACTAL' when c.v then 'PEN_BREAK_EVIDENCE_INVALIDATED' else 'PEN_BREAK_PROVISIONAL' end reason_code from {_FLAGS} a(v), {_FLAGS} b(v), {_FLAGS} c(v)""",
     "window_contract": f"""with recursive {_STROKES}, w as (
-  select symbol, stroke_id, direction d0, lead(direction) over w d1, lead(direction, 2) over w d2, end_fractal_id e0, lead(start_fractal_id) over w s1, lead(end_fractal_id) over w e1, lead(start_fractal_id, 2) over w s2, status t0, lead(status) over w t1, lead(status, 2) over w t2
-  from legs window w as (partition by symbol order by end_bar_index))
-select symbol, stroke_id, case when d0 = d1 then 'DIRECTIONS_NOT_ALTERNATING' when e0 <> s1 then 'STROKES_NOT_CONTIGUOUS' when d1 = d2 then 'DIRECTIONS_NOT_ALTERNATING' when e1 <> s2 then 'STROKES_NOT_CONTIGUOUS'
-  when d0 <> d2 then 'FIRST_LAST_DIRECTION_MISMATCH' when t0 <> 'CONFIRMED' or t1 <> 'CONFIRMED' then 'UNCONFIRMED_WINDOW_STROKE' when t2 <> 'CONFIRMED' then 'TAIL_STATUS_INVALID' end reason_code from w where t2 is not null""",
+  select symbol, stroke_id, direction d0, lead(direction) over w d1, lead(direction, 2) over w d2, lead(direction, 3) over w d3, end_fractal_id e0, lead(start_fractal_id) over w s1, lead(end_fractal_id) over w e1, lead(start_fractal_id, 2) over w s2, lead(end_fractal_id, 2) over w e2,
+    lead(start_fractal_id, 3) over w s3, status t0, lead(status) over w t1, lead(status, 2) over w t2, lead(status, 3) over w t3, lead(stroke_id) over w i1, lead(start_bar_index, 3) over w b3, lead(end_bar_index, 2) over w x2, lead(end_bar_index, 3) over w x3
+  from legs window w as (partition by symbol order by end_bar_index)),
+p as (select *, case when d0 = d1 then 'SEGMENT_STROKE_DIRECTION_NOT_ALTERNATING' when e0 <> s1 then 'SEGMENT_STROKE_ENDPOINT_NOT_CONTIGUOUS' when d1 = d2 then 'SEGMENT_STROKE_DIRECTION_NOT_ALTERNATING' when e1 <> s2 then 'SEGMENT_STROKE_ENDPOINT_NOT_CONTIGUOUS'
+  when d0 <> d2 then 'SEGMENT_FIRST_LAST_DIRECTION_MISMATCH' end f from w where t2 is not null),
+q as (select *, coalesce(f, case when t0 <> 'CONFIRMED' or t1 <> 'CONFIRMED' then 'SEGMENT_ONLY_TAIL_MAY_BE_PROVISIONAL' when t2 not in ('CONFIRMED', 'PROVISIONAL') then 'SEGMENT_TAIL_STATUS_INVALID' end, 'SEGMENT_CONTRACT_ELIGIBLE') provisional,
+  coalesce(f, case when t0 <> 'CONFIRMED' or t1 <> 'CONFIRMED' or t2 <> 'CONFIRMED' then 'SEGMENT_UNCONFIRMED_WINDOW_STROKE' when t3 is null then 'SEGMENT_DESTRUCTION_EVIDENCE_REQUIRED' when t3 <> 'CONFIRMED' then 'SEGMENT_DESTRUCTION_EVIDENCE_UNCONFIRMED'
+    when b3 < x2 then 'SEGMENT_DESTRUCTION_EVIDENCE_TOO_EARLY' when d3 = d2 then 'SEGMENT_DESTRUCTION_EVIDENCE_DIRECTION_NOT_ALTERNATING' when e2 <> s3 then 'SEGMENT_DESTRUCTION_EVIDENCE_ENDPOINT_NOT_CONTIGUOUS' end, 'SEGMENT_CONTRACT_ELIGIBLE') confirmed from p)
+select symbol, stroke_id, provisional, confirmed, case when provisional = 'SEGMENT_CONTRACT_ELIGIBLE' then 20 end key_length, case when confirmed = 'SEGMENT_CONTRACT_ELIGIBLE' then 20 end proof_length, case when provisional = 'SEGMENT_CONTRACT_ELIGIBLE' then i1 end features,
+  case when confirmed = 'SEGMENT_CONTRACT_ELIGIBLE' then x3 end earliest_bar from q""",
     "boundary_contract": f"""with recursive {_STROKES}, w as (select *, lag(stroke_id) over w pid, lag(direction) over w pd, lag(end_fractal_id) over w pe from legs window w as (partition by symbol order by start_bar_index, stroke_id))
 select symbol, stroke_id logical_id, case when pid = stroke_id then 'SG_DUPLICATE_ADJACENT_LOGICAL_ID' when pd = direction then 'SG_ADJACENT_DIRECTION_NOT_ALTERNATING' when pe <> start_fractal_id then 'SG_ADJACENT_ENDPOINT_NOT_SHARED' end reason_code from w""",
     "prefix_contract": f"""with {_H}, x as (select symbol, bar_index::bigint bar_index, case when bar_index % 5 > 0 then (bar_index // 3)::varchar end h, volume::bigint n, bar_index % 7 t, bar_index % 2 = 0 c from hb),

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from barloom.functions.kernels import merge_fold, normalise_features, primary_segment, stroke_fold
-from barloom.operators.events import new_intents, segment_intents, unsound_history
+from barloom.operators.lifecycle import emit, first_case_intents
 from barloom.operators.inclusion import assign_merged, merged_bars
 from barloom.operators.quality import flag_bars, quality_report
 from barloom.operators.segments import primary_segments, source_errors
@@ -71,16 +71,16 @@ def test_stroke_cases(points, special, outcomes):
 def zigzag(points, confirmed=None):
     out = []
     for i, (a, b) in enumerate(zip(points, points[1:])):
-        out.append({"n": i, "stroke_id": f"stroke_{i:06d}", "direction": "UP" if b > a else "DOWN", "start_price": float(a), "end_price": float(b), "start_bar_index": i, "end_bar_index": i + 1, "start_fractal_id": f"fx:{i}", "end_fractal_id": f"fx:{i + 1}", "confirmed_at_bar": (confirmed or {}).get(i, i + 1), "confirmed_at_raw_bar_index": i + 11, "status": "CONFIRMED"})
+        out.append({"stroke_id": f"stroke_{i:06d}", "logical_id": f"stroke:{i}", "object_id": f"stroke_{i:06d}_r1", "direction": "UP" if b > a else "DOWN", "start_price": float(a), "end_price": float(b), "start_bar_index": i, "end_bar_index": i + 1, "start_fractal_id": f"fx:{i}", "end_fractal_id": f"fx:{i + 1}", "confirmed_at_bar": (confirmed or {}).get(i, i + 1), "created_at_raw_bar_index": i + 11, "confirmed_at_raw_bar_index": i + 11, "status": "CONFIRMED"})
     return out
 
 
 @pytest.mark.parametrize(
     "points, outcome, elements",
     [
-        ([0, 10, 4, 12, 6], "FEATURE_WINDOW_INCOMPLETE", 2), ([0, 10, 4, 9, 5, 11, 6], "SEGMENT_FEATURE_INCLUSION_UNSEEDED", 0),
-        ([0, 10, 4, 12, 6, 11, 5], "FIRST_CASE_CONFIRMED", 3), ([12, 2, 8, 0, 6, 1, 7], "FIRST_CASE_CONFIRMED", 3),
-        ([0, 3, 1, 8, 5, 7, 4], "SECOND_CASE_PENDING", 3), ([0, 10, 4, 11, 5, 12, 6], "PRIMARY_FRACTAL_NOT_FOUND", 3),
+        ([0, 10, 4, 12, 6], "SEGMENT_FEATURE_WINDOW_INCOMPLETE", 2), ([0, 10, 4, 9, 5, 11, 6], "SEGMENT_FEATURE_INCLUSION_UNSEEDED", 0),
+        ([0, 10, 4, 12, 6, 11, 5], "SEGMENT_FIRST_CASE_CONFIRMED", 3), ([12, 2, 8, 0, 6, 1, 7], "SEGMENT_FIRST_CASE_CONFIRMED", 3),
+        ([0, 3, 1, 8, 5, 7, 4], "SEGMENT_SECOND_CASE_PENDING", 3), ([0, 10, 4, 11, 5, 12, 6], "SEGMENT_PRIMARY_FRACTAL_NOT_FOUND", 3),
     ],
 )
 def test_segment_outcomes(points, outcome, elements):
@@ -90,18 +90,50 @@ def test_segment_outcomes(points, outcome, elements):
 
 def test_segment_details(spark):
     s = primary_segment(zigzag([0, 10, 4, 12, 6, 11, 5]))["segment"]
-    assert (s["strokes"], s["features"], s["destruction"], s["end_bar_index"], s["end_price"], s["confirmed_at_bar"]) == ([0, 1, 2], [1, 3, 5], [3, 5], 3, 12.0, 6)
+    n = lambda rows: [int(r["stroke_id"][-1]) for r in rows]
+    assert (n(s["strokes"]), n(s["features"]), n(s["destruction"]), s["end_bar_index"], s["end_price"], s["confirmed_at_bar"]) == ([0, 1, 2], [1, 3, 5], [3, 5], 3, 12.0, 6)
     assert primary_segment(zigzag([0, 10, 4, 12, 6, 11, 5], {3: 9}))["segment"]["confirmed_at_bar"] == 9
     merged, _ = normalise_features([x for x in zigzag([0, 9, 4, 10, 5, 10, 6]) if x["direction"] == "DOWN"])
-    assert (merged[1]["low"], merged[1]["high"], merged[1]["strokes"], merged[1]["high_bar"]) == (6.0, 10.0, [3, 5], 3)
-    df = spark.createDataFrame([{k: v for k, v in r.items() if k != "n"} | {"symbol": "S", "sequence_id": "q"} for r in zigzag([0, 10, 4, 12, 6, 11, 5])])
+    assert (merged[1]["low"], merged[1]["high"], n(merged[1]["sources"]), merged[1]["ends"]["high"]["endpoint_id"]) == (6.0, 10.0, [3, 5], "fx:3")
+    df = spark.createDataFrame([r | {"symbol": "S", "sequence_id": "q"} for r in zigzag([0, 10, 4, 12, 6, 11, 5])])
     seg = primary_segments(df)
     row = seg.first()
-    assert row.segment_id == "segment_000001_000004_U" and row.stroke_ids == ["stroke_000000", "stroke_000001", "stroke_000002"] and row.confirmed_at_raw_bar_index == 16
+    assert row.segment_id == "segment_000001_000004_U" and row.logical_id == "segment:stroke:0->stroke:2" and row.stroke_ids == ["stroke_000000", "stroke_000001", "stroke_000002"] and row.confirmed_at_raw_bar_index == 16
     assert source_errors(df).count() == 0
-    intents = segment_intents(seg)
-    assert intents.count() == 2 and new_intents(intents, intents).count() == 0 and new_intents(intents, intents.limit(1)).count() == 1
-    assert unsound_history(intents).count() == 0 and unsound_history(intents.where("event_type = 'OBJECT_CONFIRMED'")).count() == 1
+    made = first_case_intents(seg).selectExpr("*", "cast(place as long) as seq")
+    for kept, new in ((made.where("false"), 2), (made.where("place = 1"), 1), (made, 0)):
+        fresh, refused = emit(seg, df, kept)
+        assert fresh.count() == new and refused.count() == 0
+
+
+def test_hashes_and_registry(spark):
+    from pyspark.sql import functions as F
+
+    from barloom.functions.bars import bar_hash
+    from barloom.operators.audit import confirmed_hash, log_hash, merged_hash, result_hash, revisions
+    from barloom.operators.inclusion import registry_errors
+
+    data = spark.createDataFrame(walk(3, 60), BARS)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    seen = set()
+    for zone in ("UTC", "America/New_York"):  # a bar's hash doesn't depend on the session
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        seen.add(tuple(r.h for r in data.select(bar_hash().alias("h")).orderBy("bar_index").collect()))
+    spark.conf.set("spark.sql.session.timeZone", before)
+    assert len(seen) == 1
+    t = parse(data)
+    assert result_hash(t).first() == result_hash(parse(data, chunk=7)).first()
+    assert result_hash(t).first() != result_hash(parse(data.where("bar_index < 50"))).first()
+    assert t["merged"].select(merged_hash().alias("h")).distinct().count() == t["merged"].count()
+    log = event_log(t)
+    assert log_hash(log).first() == log_hash(log.repartition(5)).first() != log_hash(log.where("event_id <> 'evt_00000001'")).first()
+    x = t["strokes"].withColumn("engine_version", F.lit("1"))
+    assert confirmed_hash(x, "stroke_id").first() == confirmed_hash(x.withColumn("engine_version", F.lit("2")), "stroke_id").first()
+    bad = data.where("bar_index < 4").withColumn("bar_id", F.expr("case bar_index when 1 then '' when 2 then 'bar_000001' else bar_id end")).unionByName(data.where("bar_index = 3").withColumn("bar_id", F.lit("z")))
+    assert {(r.bar_id, r.reason_code) for r in registry_errors(bad).collect()} == {("", "RAW_BAR_ID_REQUIRED"), ("bar_000001", "RAW_BAR_ID_DUPLICATE"), ("bar_000004", "RAW_BAR_INDEX_DUPLICATE"), ("z", "RAW_BAR_INDEX_DUPLICATE")}
+    assert registry_errors(data).count() == 0
+    rev = spark.createDataFrame([("S", "a", 2, "a_r2"), ("S", "a", 1, "a_r1"), ("S", "b", 1, "b_r1"), ("S", "a", 2, "a_r2")], "symbol string, logical_id string, revision int, object_id string")
+    assert {(r.logical_id, tuple(r.chain), r.latest) for r in revisions(rev).collect()} == {("a", ("a_r1", "a_r2"), "a_r2"), ("b", ("b_r1",), "b_r1")}
 
 
 BARS = "symbol string, bar_id string, bar_index long, timestamp timestamp_ntz, open double, high double, low double, close double, volume double"
