@@ -11,8 +11,8 @@ from barloom.operators.fractals import fractal_replacements, identity
 COLUMNS = ["symbol", "stage", "ord", "sub", "event_type", "object_type", "object_id", "logical_id", "occurred_at_bar_id", "reason_code", "replaced_by"]
 
 
-def _events(df: DataFrame, stage: int, order: Column, kinds: list[tuple[Column | None, str, str, str]], object_id: Column, logical_id: Column, at: Column, replaced_by: Column | None = None) -> DataFrame:
-    rows = [F.when(F.lit(True) if when is None else when, F.struct(F.lit(k).alias("sub"), F.lit(e).alias("event_type"), F.lit(o).alias("object_type"), F.lit(r).alias("reason_code"))) for k, (when, e, o, r) in enumerate(kinds)]
+def _events(df: DataFrame, stage: int, order: Column, kinds: list[tuple[Column | None, str, str, str | Column]], object_id: Column, logical_id: Column, at: Column, replaced_by: Column | None = None) -> DataFrame:
+    rows = [F.when(F.lit(True) if when is None else when, F.struct(F.lit(k).alias("sub"), F.lit(e).alias("event_type"), F.lit(o).alias("object_type"), (r if isinstance(r, Column) else F.lit(r)).alias("reason_code"))) for k, (when, e, o, r) in enumerate(kinds)]
     x = df.select("symbol", F.lit(stage).alias("stage"), order.cast("long").alias("ord"), object_id.alias("object_id"), logical_id.alias("logical_id"), at.alias("occurred_at_bar_id"), (replaced_by if replaced_by is not None else F.lit(None).cast("string")).alias("replaced_by"), F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("e"))
     return x.select("*", "e.*").select(*COLUMNS)
 
@@ -39,10 +39,7 @@ def structure_events(merged: DataFrame, candidates: DataFrame, selected: DataFra
     wins = F.when(F.col("end_type") == "TOP", F.col("end_price") > F.col("start_price")).otherwise(F.col("end_price") < F.col("start_price"))
     loser = F.when(collapsed & wins, a["logical_id"]).otherwise(b["logical_id"])
     rejected = decisions.where("outcome <> 'STROKE'").select("*", loser.alias("_l"), F.when(collapsed, F.when(wins, b["fractal_id"]).otherwise(a["fractal_id"])).alias("_w"))
-    x = _events(rejected, 5, place, [(None, "CANDIDATE_REJECTED", "stroke_candidate", "outcome")], F.concat(F.lit("stroke_anchor:"), F.col("_l")), F.concat(F.lit("stroke_candidate:"), F.col("_l")), numbered("mbar_", end + 2), F.concat("_w", F.lit("_r1")))
-    reasons = rejected.select(F.col("symbol").alias("_s"), place.cast("long").alias("_o"), "outcome")
-    x = x.join(reasons, F.col("symbol").eqNullSafe(F.col("_s")) & (F.col("ord") == F.col("_o")))
-    out = out.unionByName(x.withColumn("reason_code", F.col("outcome")).select(*COLUMNS))
+    out = out.unionByName(_events(rejected, 5, place, [(None, "CANDIDATE_REJECTED", "stroke_candidate", F.col("outcome"))], F.concat(F.lit("stroke_anchor:"), F.col("_l")), F.concat(F.lit("stroke_candidate:"), F.col("_l")), numbered("mbar_", end + 2), F.concat("_w", F.lit("_r1"))))
     after = F.lead("end_bar_index").over(Window.partitionBy("symbol").orderBy("end_bar_index"))
     s = strokes.withColumn("_after", after)
     seen = numbered("mbar_", end + 2)
@@ -69,6 +66,9 @@ def events_of(log: DataFrame, object_id: str | None = None, logical_id: str | No
 
 
 def rebuild_events(bounds: DataFrame) -> DataFrame:
-    """The pair of events of each local rebuild (symbol, rebuild_id, from_bar_id, to_bar_id)."""
-    pair = F.array(*[F.struct(F.lit(e).alias("event_type"), F.lit(r).alias("reason_code"), F.col(c).alias("occurred_at_bar_id")) for e, r, c in (("LOCAL_REBUILD_STARTED", "TAIL_CHANGED", "from_bar_id"), ("LOCAL_REBUILD_COMPLETED", "TAIL_SETTLED", "to_bar_id"))])
-    return bounds.select("symbol", F.col("rebuild_id").alias("object_id"), F.lit("rebuild").alias("object_type"), F.explode(pair).alias("e")).select("symbol", "object_id", "object_type", "e.*")
+    """The pair of events of each local rebuild (symbol, from_bar, to_bar, affected array of ids)."""
+    pair = F.array(
+        F.struct(F.lit("LOCAL_REBUILD_START").alias("event_type"), F.lit("DEPENDENCY_INVALIDATION").alias("reason_code"), numbered("bar_", F.col("from_bar") + 1).alias("occurred_at_bar_id"), F.to_json(F.struct(F.col("affected").alias("affected_objects"), F.col("from_bar").alias("rebuild_from_bar"), F.col("to_bar").alias("rebuild_to_bar"))).alias("detail")),
+        F.struct(F.lit("LOCAL_REBUILD_END").alias("event_type"), F.lit("REBUILD_COMPLETE").alias("reason_code"), numbered("bar_", F.col("to_bar") + 1).alias("occurred_at_bar_id"), F.to_json(F.struct(F.col("from_bar").alias("rebuild_from_bar"), F.col("to_bar").alias("rebuild_to_bar"))).alias("detail")),
+    )
+    return bounds.select("symbol", F.lit("engine").alias("object_type"), F.lit("incremental_engine").alias("object_id"), F.explode(pair).alias("e")).select("symbol", "object_type", "object_id", "e.*")

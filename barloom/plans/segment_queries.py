@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from barloom.functions import second_case as second
 from barloom.functions.rules import interval_relation
-from barloom.operators import lifecycle
+from barloom.operators import audit, lifecycle
+from barloom.operators.fractals import fractal_candidates, fractal_replacements, fractals
+from barloom.operators.inclusion import provenance_errors, registry_errors
 from barloom.operators.segments import feature_elements, primary_segments, refused_sequences
+from barloom.profile import Profile
 from barloom.session import read_table
 
 STROKES = (
@@ -181,7 +184,52 @@ def element_checks(s: SparkSession, d: str) -> DataFrame:
     return x.select("symbol", "stroke_id", second.element_errors(a).alias("unsound"), second.merge_refusal(a, b, seed, (F.lit("UP"), F.lit("UP")), F.lit(False)).alias("no_merge"), interval_relation((a["low"], a["high"]), (b["low"], b["high"])).alias("relation"))
 
 
+BARS = {  # (high, low) of merged bars
+    "top": [(103, 98), (108, 101), (106, 100)], "bottom": [(105, 100), (102, 95), (101, 97)], "short": [(1, 0), (2, 1)], "equal_high": [(105, 98), (105, 99), (104, 97)],
+    "collapse": [(103, 98), (108, 101), (106, 103), (111, 102), (107, 101)], "equal_low": [(105, 98), (104, 98), (106, 99)], "tie": [(103, 98), (108, 101), (106, 103), (108, 102), (107, 101)],
+}
+
+
+def _merged(s: SparkSession) -> DataFrame:
+    return s.createDataFrame([(name, i, float(h), float(l)) for name, bars in BARS.items() for i, (h, l) in enumerate(bars)], "symbol string, bar_index long, high double, low double")
+
+
+def fractal_cases(s: SparkSession, d: str) -> DataFrame:
+    """Turning points by the strict and the relaxed rule, those that remain, and those replaced."""
+    m = _merged(s)
+    strict, relaxed = fractal_candidates(m), fractal_candidates(m, Profile(allow_equal_high=True, allow_equal_low=True))
+    pick = lambda x, what: x.select("symbol", F.lit(what).alias("what"), "fractal_type", F.col("merged_bar_index").alias("bar"))
+    lost = fractal_replacements(strict).select("symbol", F.lit("replaced").alias("what"), "fractal_type", F.col("loser_index").alias("bar"))
+    return pick(strict, "strict").unionByName(pick(relaxed, "relaxed")).unionByName(pick(fractals(strict), "kept")).unionByName(lost)
+
+
+def planted_provenance(s: SparkSession, d: str) -> DataFrame:
+    """Merged bars whose sources are missing, repeated or unknown."""
+    m = s.createDataFrame([("S", ["a", "b"]), ("S", ["b"]), ("S", ["x"]), ("S", []), ("T", ["a"])], "symbol string, source_raw_bar_ids array<string>")
+    return provenance_errors(m, s.createDataFrame([("S", "a"), ("S", "b"), ("T", "a")], "symbol string, bar_id string")).select("symbol", F.coalesce("source", F.lit("")).alias("source"), "reason_code")
+
+
+def planted_registry(s: SparkSession, d: str) -> DataFrame:
+    rows = [("S", "a", 0), ("S", "b", 1), ("S", "a", 2), ("S", "", 3), ("S", None, 4), ("S", "c", -1), ("S", "d", 6), ("S", "e", 6), ("T", "a", 0)]
+    return registry_errors(s.createDataFrame(rows, "symbol string, bar_id string, bar_index long")).select("symbol", F.coalesce("bar_id", F.lit("null")).alias("bar_id"), "bar_index", "reason_code")
+
+
+def planted_consistency(s: SparkSession, d: str) -> DataFrame:
+    """A second run with a changed price, a lost bar, a lost turning point and a bar too many."""
+    one = {
+        "merged": s.createDataFrame([("S", i, 1.0, 2.0 + i, 0.5, 1.5) for i in range(5)], "symbol string, bar_index long, open double, high double, low double, close double"),
+        "fractals": s.createDataFrame([("S", 1, "TOP", 3.0, "f1", "CONFIRMED"), ("S", 3, "BOTTOM", 0.5, "f3", "CONFIRMED"), ("S", 4, "TOP", 6.0, "f4", "PROVISIONAL")], "symbol string, merged_bar_index long, fractal_type string, price double, logical_id string, status string"),
+        "strokes": s.createDataFrame([("S", "s1", "DOWN", 3.0, 0.5, 1, 3, "CONFIRMED")], "symbol string, logical_id string, direction string, start_price double, end_price double, start_bar_index long, end_bar_index long, status string"),
+    }
+    two = dict(one)
+    two["merged"] = one["merged"].withColumn("high", F.when(F.col("bar_index") == 2, 9.0).otherwise(F.col("high"))).where("bar_index <> 4").unionByName(one["merged"].where("bar_index = 4").withColumn("bar_index", F.lit(7).cast("long")))
+    two["fractals"] = one["fractals"].where("merged_bar_index <> 3")
+    two["strokes"] = one["strokes"].withColumns({"end_price": F.lit(0.25), "direction": F.lit("UP")})
+    return audit.consistency(one, two)
+
+
 QUERIES = {
+    "fractal_cases": fractal_cases, "planted_provenance": planted_provenance, "planted_registry": planted_registry, "planted_consistency": planted_consistency,
     "segment_cases": cases, "segment_case_elements": case_elements, "segment_source_faults": source_faults, "segment_intents": intents, "segment_emission": emission, "segment_checkpoints": checkpoints,
     "segment_checkpoint_faults": checkpoint_faults, "second_case_chain": second_chain, "primary_evidence_windows": evidence_windows, "feature_element_checks": element_checks,
 }
@@ -204,6 +252,16 @@ w as (select *, lead({'i': stroke_id, 'lo': lo, 'hi': hi, 'sb': sb, 'eb': eb, 's
 x as (select *, lo a_lo, hi a_hi from w where c is not null)"""
 
 SQL = {
+    "fractal_cases": _values("symbol, what, fractal_type, bar", [
+        "('top','strict','TOP',1)", "('top','relaxed','TOP',1)", "('top','kept','TOP',1)", "('bottom','strict','BOTTOM',1)", "('bottom','kept','BOTTOM',1)", "('equal_high','relaxed','TOP',1)", "('equal_low','relaxed','BOTTOM',1)",
+        "('collapse','strict','TOP',1)", "('collapse','strict','TOP',3)", "('collapse','kept','TOP',3)", "('collapse','replaced','TOP',1)",
+        "('tie','strict','TOP',1)", "('tie','strict','TOP',3)", "('tie','kept','TOP',1)", "('tie','replaced','TOP',3)",
+    ]),
+    "planted_provenance": _values("symbol, source, reason_code", ["('S','b','SOURCE_REPEATED')", "('S','x','SOURCE_UNKNOWN')", "('S','','SOURCE_MISSING')"]),
+    "planted_registry": _values("symbol, bar_id, bar_index, reason_code", ["('S','a',2,'RAW_BAR_ID_DUPLICATE')", "('S','',3,'RAW_BAR_ID_REQUIRED')", "('S','null',4,'RAW_BAR_ID_REQUIRED')", "('S','c',-1,'RAW_BAR_INDEX_INVALID')", "('S','d',6,'RAW_BAR_INDEX_DUPLICATE')", "('S','e',6,'RAW_BAR_INDEX_DUPLICATE')"]),
+    "planted_consistency": _values("symbol, kind, place, difference", [
+        "('S','merged_bar','2','high')", "('S','merged_bar','4','missing_in_second')", "('S','merged_bar','7','missing_in_first')", "('S','fractal','3:BOTTOM','missing_in_second')", "('S','stroke','s1','direction')", "('S','stroke','s1','end_price')",
+    ]),
     "segment_cases": _values(
         "symbol, outcome, elements, direction, segment_id, logical_id, end_price, end_bar_index, strokes, features, destruction, confirmed_at_bar, confirmed_at_raw_bar_index, destruction_case, fractal_type, endpoint_id",
         [

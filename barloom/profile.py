@@ -27,6 +27,8 @@ class Profile:
             raise ValueError(f"equal_high_low_policy: {self.equal_high_low_policy!r}")
         if self.window_size != 3 or self.minimum_distance != 1 or not self.use_merged_bars:
             raise ValueError("only three-bar turning points over merged bars at distance 1 are defined")
+        if not self.alternating_fractals_required:
+            raise ValueError("strokes join turning points of alternating type only")
         for f in fields(self):
             value = getattr(self, f.name)
             if type(value) is not type(f.default) or (type(value) is int and value < 1):

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import asdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -146,8 +146,13 @@ def changelog(bars: DataFrame, profile: Profile = Profile()) -> DataFrame:
         state = json.loads(group.get[0]) if group.exists else empty_state()
         pdf = pd.concat(list(batches)).sort_values(["bar_index"])
         rows = list(zip((int(t.value // 1000) for t in pdf["timestamp"]), pdf["high"].tolist(), pdf["low"].tolist()))
-        state, events = advance(state, rows, Profile(**settings))
-        group.update((json.dumps(state),))
+        try:
+            state, events = advance(state, rows, Profile(**settings))
+            group.update((json.dumps(state),))
+        except RebuildBoundaryExceeded as error:  # this symbol stands still from here on; the others go on
+            events = [{"event_type": "DATA_ERROR", "object_type": "raw_bar", "logical_id": f"bar:{rows[0][0]}", "revision": 1, "status": "INVALIDATED", "detail": str(error), "reason_code": "REBUILD_BOUNDARY_EXCEEDED"}]
+            if not group.exists:
+                group.update((json.dumps(empty_state()),))
         if events:
             out = pd.DataFrame(events)
             out.insert(0, "symbol", key[0])
@@ -163,6 +168,45 @@ def current(changes: DataFrame) -> DataFrame:
     return x.select("symbol", "object_type", "logical_id", "s.*").where("status <> 'INVALIDATED'")
 
 
+def checkpoint_bars(changes: DataFrame, profile: Profile = Profile()) -> DataFrame:
+    """(symbol, at_bar_index): where each symbol can be restored, the newest ``checkpoint_retention`` of
+    the first batch ends at or after every ``checkpoint_interval`` bars.
+    """
+    x = changes.select("symbol", "at_bar_index").distinct()
+    x = x.groupBy("symbol", F.floor(F.col("at_bar_index") / profile.checkpoint_interval).alias("_k")).agg(F.min("at_bar_index").alias("at_bar_index"))
+    newest = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("at_bar_index").desc()))
+    return x.withColumn("_n", newest).where(F.col("_n") <= profile.checkpoint_retention).select("symbol", "at_bar_index")
+
+
+def snapshot_bars(changes: DataFrame, profile: Profile = Profile()) -> DataFrame:
+    """(symbol, at_bar_index): the newest ``snapshot_retention`` batch ends, of which states are kept."""
+    x = changes.select("symbol", "at_bar_index").distinct()
+    return x.withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("at_bar_index").desc()))).where(F.col("_n") <= profile.snapshot_retention).select("symbol", "at_bar_index")
+
+
+def _kept(points: DataFrame, symbol: str, bar: int, what: str) -> None:
+    if points.where((F.col("symbol") == symbol) & (F.col("at_bar_index") == bar)).isEmpty():
+        raise KeyError(f"no {what} of {symbol} at bar {bar}")
+
+
+def snapshot_at(changes: DataFrame, symbol: str, bar: int, profile: Profile = Profile()) -> DataFrame:
+    """The state of a symbol as it was after the batch that ended at ``bar``; KeyError if it isn't kept."""
+    _kept(snapshot_bars(changes, profile), symbol, bar, "snapshot")
+    return current(changes.where((F.col("symbol") == symbol) & (F.col("at_bar_index") <= bar)))
+
+
+def restored(changes: DataFrame, symbol: str, bar: int, profile: Profile = Profile()) -> DataFrame:
+    """The changelog with a symbol put back to a checkpoint: its later changes, and with them its later
+    checkpoints and snapshots, are gone, and a CHECKPOINT_RESTORED row says so.
+    """
+    _kept(checkpoint_bars(changes, profile), symbol, bar, "checkpoint")
+    back = F.col("symbol") == symbol
+    kept = changes.where(~back | (F.col("at_bar_index") <= bar))
+    note = kept.where(back).groupBy("symbol").agg(F.max("at_bar_index").alias("at_bar_index"), *([F.max("ord").alias("ord")] if "ord" in changes.columns else []))
+    note = note.withColumns({"event_type": F.lit("CHECKPOINT_RESTORED"), "object_type": F.lit("engine"), "reason_code": F.lit("MANUAL_RESTORE")})
+    return kept.unionByName(note.withColumn("logical_id", F.concat(F.lit("checkpoint:"), F.col("at_bar_index").cast("string"))), allowMissingColumns=True)
+
+
 def write_snapshots(path: str):
     """A foreachBatch sink: each batch's changes under its number. Writing a batch again replaces
     it, so a replay leaves the same table.
