@@ -9,7 +9,7 @@ from barloom.operators.history import version_history
 from barloom.operators.spikes import implausible_bars
 from barloom.operators.timestamps import normalise_timestamps
 from barloom.session import read_table
-from barloom.sources.rejects import load_csv_records
+from barloom.sources.rejects import ALIASES, load_csv_records
 
 QUERIES = {
     "p1_found": lambda s, d: normalise_timestamps(read_table(s, d, "feed_bars"), read_table(s, d, "feeds")),
@@ -20,9 +20,34 @@ QUERIES = {
     "p5_found": lambda s, d: implausible_bars(read_table(s, d, "raw_bars")),
 }
 
+def _csv_sql() -> str:
+    """Every record's fields by regular expressions alone, without a CSV reader."""
+    field = lambda d: rf'(?:"(?:[^"]|"")*"|[^"{d}]*)'
+    forms = [(",", ","), (";", ";"), ("\t", r"\t"), ("|", "|")]
+    well = " ".join(f"when '{d}' then regexp_full_match(r, '(?s){field(e)}(?:[{e}]{field(e)})*')" for d, e in forms)
+    cut = " ".join(f"when '{d}' then regexp_extract_all('{d}' || r, '(?s)[{e}]({field(e)})', 1)" for d, e in forms)
+    place = ", ".join(f"coalesce({', '.join(f'list_position(names, {chr(39)}{a}{chr(39)})' for a in aliases)}) p_{f}" for f, aliases in ALIASES.items())
+    text = lambda f: f"(case when f[p_{f}] like '\"%' then replace(f[p_{f}][2:-2], '\"\"', '\"') else f[p_{f}] end)"
+    number = "'[ \\t\\n\\v\\f\\r]*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?[ \\t\\n\\v\\f\\r]*'".replace("\\\\", "\\")
+    bad = lambda f: f"not coalesce(regexp_full_match({text(f)}, {number}) and try_cast(trim({text(f)}) as double) > 0, false)"
+    volume = text("volume")
+    return f"""
+with h as (
+  select file_id, n[list_position(n, list_max(n))] k, case n[1] when list_max(n) then ',' else case n[2] when list_max(n) then ';' else case n[3] when list_max(n) then chr(9) else '|' end end end d, line
+  from (select file_id, line, [len(line) - len(replace(line, ',', '')), len(line) - len(replace(line, ';', '')), len(line) - len(replace(line, chr(9), '')), len(line) - len(replace(line, '|', ''))] n
+    from (select file_id, rtrim(ltrim(max(line), chr(65279)), chr(13)) line from csv_lines where line_no = 1 group by file_id))),
+c as (select file_id, d, list_transform(string_split(line, d), lambda x: lower(trim(replace(x, '"', '')))) names from h),
+o as (select file_id, d, len(names) width, {place} from c),
+x as (select line_id, l.file_id, o.* exclude (file_id), case when line like '%' || chr(13) then line[:-2] else coalesce(line, '') end r from csv_lines l left join o on l.file_id = o.file_id where line_no is distinct from 1),
+y as (select *, case d {well} end well, case d {cut} end f from x)
+select line_id, coalesce(case when d is null then 'columns' when not well then 'quoting' when len(f) <> width or r = '' then 'columns' {' '.join(f"when {bad(f)} then '{f}'" for f in ("open", "high", "low", "close"))}
+  when trim(coalesce({volume}, '')) <> '' and (not regexp_full_match({volume}, {number}) or try_cast(trim({volume}) as double) < 0) then 'volume' end, '') reason from y"""
+
+
 _SIDE = "select symbol, trim(logical_id) lid, arg_max({{'s': start_price, 'e': end_price, 't': upper(trim(status))}}, revision) x from {0} where trim(logical_id) <> '' group by all"
 
 SQL = {
+    "p3_found": f"select line_id, reason from ({_csv_sql()}) where reason <> ''",
     "p2_found": """
 with r as (
   select symbol, snapshot_bar, logical_id, revision, upper(trim(status)) status, coalesce(confirmed_at_bar, -1) c,
