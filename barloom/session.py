@@ -28,15 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stash(df: DataFrame, name: str = "stage") -> DataFrame:
+def stash(df: DataFrame, name: str = "stage", *by: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return a scan of it.
 
-    Cuts lineage like ``checkpoint()`` but stays columnar, so later reads prune columns. The files
+    Cuts lineage like ``checkpoint()`` but stays columnar, so later reads prune columns, and files if
+    it is partitioned ``by`` columns. The files
     survive lost executors; they are deleted when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    w = df.write.option("compression", "zstd")
+    (w.partitionBy(*by) if by else w).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
