@@ -41,12 +41,14 @@ o as (select file_id, d, len(names) width, {place} from c),
 x as (select line_id, l.file_id, o.* exclude (file_id), case when line like '%' || chr(13) then line[:-2] else coalesce(line, '') end r from csv_lines l left join o on l.file_id = o.file_id where line_no is distinct from 1),
 y as (select *, case d {well} end well, case d {cut} end f from x)
 select line_id, coalesce(case when d is null then 'columns' when not well then 'quoting' when len(f) <> width or r = '' then 'columns' {' '.join(f"when {bad(f)} then '{f}'" for f in ("open", "high", "low", "close"))}
-  when trim(coalesce({volume}, '')) <> '' and (not regexp_full_match({volume}, {number}) or try_cast(trim({volume}) as double) < 0) then 'volume' end, '') reason from y"""
+  when trim(coalesce({volume}, '')) <> '' and (not regexp_full_match({volume}, {number}) or try_cast(trim({volume}) as double) < 0) then 'volume' end, '') reason,
+  file_id, trim({text("timestamp")}) bar_time, {', '.join(f'try_cast(trim({text(f)}) as double) {chr(34)}{f}{chr(34)}' for f in ("open", "high", "low", "close", "volume"))} from y"""
 
 
 _SIDE = "select symbol, trim(logical_id) lid, arg_max({{'s': start_price, 'e': end_price, 't': upper(trim(status))}}, revision) x from {0} where trim(logical_id) <> '' group by all"
 
 SQL = {
+    "p3_loaded": f"select * exclude (reason) from ({_csv_sql()}) where reason = ''",
     "p3_found": f"select line_id, reason from ({_csv_sql()}) where reason <> ''",
     "p2_found": """
 with r as (
