@@ -277,6 +277,62 @@ def test_the_forest_rejects_most_readings():
     assert set(zip(flag(p, model)["bar_index"], flag(p, model)["kind"])) == {(7, "spike"), (9, "stuck")}
 
 
+def test_the_model_counts_every_reading():
+    """Also readings beyond the first 2,048 by luck, in whatever order they come."""
+    import numpy as np
+    import pandas as pd
+
+    from barloom.operators.spikes import features, flag, score, train
+
+    rng = np.random.default_rng(2)
+    n = 6000
+    p = pd.DataFrame({"symbol": "A", "bar_index": range(n), "hour": 0, "excess": rng.exponential(0.3, n) * 1e-3, "step": rng.exponential(1, n) * 1e-3, "run": rng.integers(1, 3, n), "usual": 1e-3, "run95": 2, "luck": range(n)})
+    p.loc[5000:, "hour"], p.loc[5000:, "step"] = 5, 4e-3
+    p.loc[5500:5509, "excess"], p.loc[5600:5620, "run"] = 0.0251, 9
+    model = train(p)
+    assert abs(model["season"][5] - 4) < 0.01
+    assert abs(model["forest"]["norm"] - (2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n)) < 1e-6  # of trees over n readings
+    s = score(model["forest"], features(p, model))
+    for kind, true in (("spike", p["excess"] > 0.025), ("stuck", p["run"] > 8)):
+        assert model["cut"][kind] <= s[true].min() and (s < model["cut"][kind]).mean() > 0.9
+    got = flag(p, model)
+    assert set(zip(got["bar_index"], got["kind"])) == {(i, "spike") for i in range(5500, 5510)} | {(i, "stuck") for i in range(5600, 5621)}
+    other = train(p.assign(luck=-p["luck"]).sample(frac=1, random_state=1))
+    assert other["cut"] == model["cut"] and all(np.array_equal(other["forest"][k], model["forest"][k]) for k in "ftab")
+
+
+def test_the_query_learns_from_every_reading(spark, monkeypatch):
+    """Models counted by cells in Spark are those of all readings in one frame."""
+    import pickle
+
+    import numpy as np
+
+    import barloom.operators.spikes as spikes
+
+    rnd = random.Random(3)
+    t0 = dt.datetime(2020, 1, 1)
+    rows = []
+    for symbol, feed, n, hours in (("A", "f", 2500, 24), ("B", "f", 1500, 24), ("C", None, 300, 5), ("D", "still", 9, 24)):
+        c = 100.0
+        for i in range(n):
+            c *= 1 + rnd.choice([-1, 1]) * rnd.uniform(0.5, 1.5) * 0.001 * (1 + i % hours / 6) * (rnd.random() < 0.9) * (feed != "still")
+            rows.append((symbol, feed, i, t0 + dt.timedelta(hours=i % hours), c, c * 1.0001, c * 0.9999, c, 1.0, t0, "", ""))
+    seen = []
+    scored = spikes._scored
+    monkeypatch.setattr(spikes, "_scored", lambda readings, models, size: seen.append((readings, models)) or scored(readings, models, size))
+    df = spark.createDataFrame(rows, RAW)
+    spikes.implausible_bars(df, 256).collect()
+    readings = seen[0][0].toPandas().assign(luck=0)
+    models = {r["feed"]: pickle.loads(bytes(r["model"])) for r in seen[0][1].collect()}
+    assert set(models) == {"f", None, "still"}
+    for feed, p in readings.groupby("feed", dropna=False):
+        model = models[feed if isinstance(feed, str) else None]
+        whole = spikes.train(p.assign(usual=model["usual"], run95=model["run95"]))
+        assert np.allclose(whole["season"], model["season"], rtol=1e-12) and whole["cut"] == model["cut"]
+        assert all(np.array_equal(whole["forest"][k], model["forest"][k]) for k in "ftab") and whole["forest"]["norm"] == model["forest"]["norm"]
+    assert models[None]["season"][5:] == [1.0] * 19 and min(models["f"]["season"]) < 0.9
+
+
 def test_implausible_bars_empty_and_null(spark):
     assert implausible_bars(spark.createDataFrame([], RAW)).count() == 0
     nulls = [(None, None, i, None, None, None, None, None, None, None, "", "") for i in range(3)]
